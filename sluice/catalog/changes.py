@@ -64,9 +64,10 @@ register("win_05_throttle_fixed",
          "SELECT event_id, event_type FROM events QUALIFY row_number() OVER "
          "(PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3")
 register("win_05_throttle_large_rate",
-         lambda t: H.throttle_fixed(t.lineitem.withColumn("row", F.col("l_orderkey") * 8 + F.col("l_linenumber")),
-                                    ["l_returnflag"], "l_shipdate", "row", 1200, "year").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"),
-         None)
+         lambda t: H.throttle_fixed(t.orders, ["o_orderpriority"], "o_orderdate", "o_orderkey", 1200, "year", burst=10)
+         .select("o_orderkey", "o_orderpriority"),
+         "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER "
+         "(PARTITION BY o_orderpriority, date_trunc('year', o_orderdate) ORDER BY o_orderdate, o_orderkey) <= 1210")
 
 
 # -- change logs -------------------------------------------------------------------------

@@ -56,19 +56,33 @@ MAX_DEPTH = 10
 def hierarchy_depth(types: DataFrame, key: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``depth`` of each row: itself plus its ancestors, at most ``max_depth``.
 
-    One join per level over (row, next ancestor) pairs; a row leaves the walk at its root.
+    Every row knows an ancestor and the steps to it; a round lets it jump on by what that
+    ancestor knows, so the reach doubles and the rounds grow with the logarithm of the depth.
+    Rows that reached their root take no part in later joins.
     """
-    links = types.select(F.col(key).alias("_k"), F.col(parent).alias("_up"))
-    walk = types.select(F.col(key), F.col(parent).alias("_at"), F.lit(1).alias("depth"))
-    for level in range(1, max_depth):
-        step = walk.join(links, F.col("_at") == F.col("_k"), "left")
-        walk = step.select(
-            key, F.col("_up").alias("_at"),
-            (F.col("depth") + F.col("_k").isNotNull().cast("int")).alias("depth"),
-        )
-        if level % 5 == 0:
-            walk = stored(walk)
-    return types.join(walk.select(key, "depth"), key)
+    there = types.select(F.col(key).alias("_k"))
+    climbing = (
+        types.join(there, F.col(parent) == F.col("_k"), "left_semi")
+        .select(F.col(key).alias("_k"), F.col(parent).alias("_up"), F.lit(1).alias("_steps"))
+    )
+    reached = None
+    reach = 1
+    while True:
+        jump = climbing.select(F.col("_k").alias("_at"), F.col("_up").alias("_far"), F.col("_steps").alias("_more"))
+        known = jump if reached is None else jump.unionByName(
+            reached.select(F.col("_k").alias("_at"), F.lit(None).cast(climbing.schema["_up"].dataType).alias("_far"),
+                           F.col("_steps").alias("_more")))
+        moved = stored(climbing.join(known, F.col("_up") == F.col("_at"), "left").select(
+            "_k", F.col("_far").alias("_up"), (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps")))
+        done = moved.filter(F.col("_up").isNull())
+        reached = done if reached is None else reached.unionByName(done)
+        climbing = moved.filter(F.col("_up").isNotNull())
+        reach *= 2
+        if reach >= max_depth:
+            break
+    steps = reached.unionByName(climbing).select(F.col("_k").alias(key), "_steps")
+    depth = F.least(F.coalesce("_steps", F.lit(0)) + 1, F.lit(max_depth)).alias("depth")
+    return types.join(steps, key, "left").select(*types.columns, depth)
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

@@ -33,10 +33,13 @@ def archive(df: DataFrame, path: str, ts: str, mode: str = "append", max_records
             compression: str = "gzip") -> None:
     """Compressed JSON lines under a folder per date and hour.
 
-    Rows are not gathered per folder: a busy hour would land in one task.  Each task rolls its
-    own files, bounded by ``max_records``.
+    Rows are rebalanced by folder: quiet hours share a task, a busy hour is split over several,
+    so files keep a sensible size either way.  ``max_records`` rolls them earlier.
     """
-    w = partition_keys(df, ts).write.mode(mode).option("compression", compression)
+    keyed = partition_keys(df, ts)
+    if not df.isStreaming:
+        keyed = keyed.hint("rebalance", F.col("_partition_date"), F.col("_partition_hour"))
+    w = keyed.write.mode(mode).option("compression", compression)
     if max_records:
         w = w.option("maxRecordsPerFile", max_records)
     w.partitionBy("_partition_date", "_partition_hour").json(path)

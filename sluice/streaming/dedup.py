@@ -25,6 +25,16 @@ def dedup_within(stream: DataFrame, id_field: str, ts: str, ttl: str = "24 hours
     return unique.unionByName(timed.filter(blank))
 
 
+def dedup_ttl(stream: DataFrame, id_field: str, ttl_seconds: int = 86_400) -> DataFrame:
+    """Drop an event whose id was let through less than ``ttl_seconds`` (processing time) ago.
+
+    The arrival time serves as event time.  A mark lasts one delay and the watermark trails by
+    another, so the delay is half the time to live.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp())
+    return dedup_within(arrived, id_field, "_arrived", f"{ttl_seconds * 500} milliseconds").drop("_arrived")
+
+
 class WrittenEvents:
     """De-duplication against the ids of events that were written, kept as a table.
 

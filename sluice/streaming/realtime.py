@@ -1,18 +1,19 @@
 """Stateful stream operators: upserts, the realtime chain, throttling, latest row per key.
 
-Sequential rules need all rows of a key, in order, in one place.  The state-store operators
-below see one micro-batch of a key at a time, which the source's batch limit bounds; keep only
-constant state per key; and live on ``transformWithState``.  ``TableChain`` is the form for
-streams with very hot entities: it uses the block-wise batch operators on each micro-batch.
+Sequential rules need the rows of a key, in order, in one place.  The operators built on
+``applyInPandasWithState`` see one micro-batch of a key at a time, which the source's batch
+limit bounds, and keep a small state per key.  ``TableChain`` is the form for streams with very
+hot entities: it runs the block-wise batch operators on each micro-batch.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.operators.blocks import first_rows, previous_value, same_group
 from sluice.operators.changes import CREATE, DELETE, UPDATE
@@ -20,15 +21,6 @@ from sluice.operators.predicates import to_column
 from sluice.functions.values import TypedRecord
 from sluice.streaming.dedup import WrittenEvents
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """``transformWithState`` keeps its state in RocksDB."""
-    spark.conf.set(PROVIDER_CONF, ROCKSDB)
-
-
 def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
 
@@ -55,67 +47,50 @@ class _Created(TypedRecord):
         return type(found)(F.lit(CREATE), T.StringType(), F.lit(True), F.lit(False))
 
 
-class RealtimeProcessor(StatefulProcessor):
-    """Per entity: duplicate check, upsert rewrite, filter verdict; state moves only for rows
-    that are written."""
+REALTIME_STATE = "alive boolean, ids array<string>, marked array<bigint>"
 
-    def __init__(self, columns: list[str], order: list[str], type_field: str, id_field: str | None, ttl_ms: int):
-        self.columns, self.order, self.type_field = columns, order, type_field
-        self.id_field, self.ttl_ms = id_field, ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.alive = handle.getValueState("alive", "alive boolean")
-        if self.id_field:
-            self.seen = handle.getMapState("seen", "id string", "there boolean", self.ttl_ms or None)
+def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field: str = "event_type",
+             condition=None, id_field: str | None = None, ttl_seconds: int = 86_400) -> DataFrame:
+    """Duplicate check, upsert rewrite and filter in the order of the realtime chain.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, self.order)
-        alive = bool(self.alive.get()[0]) if self.alive.exists() else False
-        before, keep, kinds = alive, [], []
-        for i, (kind, as_is, as_create) in enumerate(zip(pdf[self.type_field], pdf["_as_is"], pdf["_as_create"])):
-            event_id = self._id(pdf, i)
-            if event_id and self.seen.containsKey((event_id,)):
+    State moves only for rows that are written.  Without ``condition`` and ``id_field`` this is
+    the stateful upsert conversion.  With ``id_field``, copies of an event must carry the same
+    entity, and an entity's state holds its ids of the last ``ttl_seconds``.
+    """
+    as_is, as_create = _filter_forms(stream, condition, type_field)
+    judged = stream.withColumns({"_as_is": as_is, "_as_create": as_create})
+    columns = stream.columns
+
+    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(frames, order)
+        now = int(time.time() * 1000)
+        alive, ids, marked = state.get if state.exists else (False, [], [])
+        seen = {i: m for i, m in zip(ids, marked) if m > now - ttl_seconds * 1000}
+        names = pdf[id_field].tolist() if id_field else [None] * len(pdf)
+        keep, kinds = [], []
+        for i, (name, kind, is_ok, create_ok) in enumerate(zip(names, pdf[type_field], pdf["_as_is"], pdf["_as_create"])):
+            name = None if name is None or pd.isna(name) or name == "" else str(name)
+            if name in seen:
                 continue
             created = kind == UPDATE and not alive
-            if not (as_create if created else as_is):
+            if not (create_ok if created else is_ok):
                 continue
             kind = CREATE if created else kind
             if kind in (CREATE, UPDATE, DELETE):
                 alive = kind != DELETE
-            if event_id:
-                self.seen.updateValue((event_id,), (True,))
+            if name is not None:
+                seen[name] = now
             keep.append(i)
             kinds.append(kind)
-        if alive != before:
-            self.alive.update((alive,))
+        state.update((alive, list(seen.keys()), list(seen.values())))
         if keep:
-            out = pdf.iloc[keep][self.columns].copy()
-            out[self.type_field] = kinds
+            out = pdf.iloc[keep][columns].copy()
+            out[type_field] = kinds
             yield out
 
-    def _id(self, pdf: pd.DataFrame, i: int) -> str | None:
-        if not self.id_field:
-            return None
-        value = pdf[self.id_field].iloc[i]
-        return None if pd.isna(value) or value == "" else str(value)
-
-    def close(self) -> None:
-        pass
-
-
-def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field: str = "event_type",
-             condition=None, id_field: str | None = None, ttl_seconds: int = 86_400) -> DataFrame:
-    """Duplicate check, upsert rewrite and filter in the order of the realtime chain.
-
-    Without ``condition`` and ``id_field`` this is the stateful upsert conversion.  Copies of an
-    event must carry the same entity.
-    """
-    use_rocksdb(stream.sparkSession)
-    as_is, as_create = _filter_forms(stream, condition, type_field)
-    judged = stream.withColumns({"_as_is": as_is, "_as_create": as_create})
-    processor = RealtimeProcessor(stream.columns, order, type_field, id_field, ttl_seconds * 1000 if id_field else 0)
-    return judged.groupBy(*entity).transformWithStateInPandas(
-        processor, stream.schema, "Append", "processingTime" if id_field else "none")
+    return judged.groupBy(*entity).applyInPandasWithState(
+        advance, stream.schema, REALTIME_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 class TableChain:
@@ -202,92 +177,53 @@ def reads_field(spec, name: str) -> bool:
 INTERVALS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000}
 
 
-class ThrottleProcessor(StatefulProcessor):
-    """Admits at most ``rate + burst`` rows, by a fixed window, sliding window or token bucket.
-
-    The state of a key is one array: window number and count, accepted times of the last
-    interval, or tokens (in millionths) and the time they were counted.
-    """
+def _admit_fixed(held: list[int], now: int, span: int, rate: int, capacity: int):
+    """State: number of the window and rows admitted in it."""
+    window = now // span
+    used = held[1] if held and held[0] == window else 0
+    return used < capacity, [window, used + (used < capacity)]
 
-    def __init__(self, columns: list[str], order: list[str], strategy: str, rate: int, interval: str, burst: int):
-        self.columns, self.order, self.strategy = columns, order, strategy
-        self.rate, self.capacity, self.span = rate, rate + burst, INTERVALS[interval]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "held array<bigint>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, self.order)
-        held = [int(v) for v in self.state.get()[0]] if self.state.exists() else []
-        admit = {"fixed_window": self._fixed, "sliding_window": self._sliding, "token_bucket": self._token}[self.strategy]
-        keep = []
-        for i, now in enumerate(pdf["_us"]):
-            ok, held = admit(held, int(now))
-            if ok:
-                keep.append(i)
-        self.state.update((held,))
-        if keep:
-            yield pdf.iloc[keep][self.columns]
+def _admit_sliding(held: list[int], now: int, span: int, rate: int, capacity: int):
+    """State: times of the rows admitted in the last interval."""
+    held = [t for t in held if t > now - span]
+    ok = len(held) < capacity
+    return ok, held + [now] if ok else held
 
-    def _fixed(self, held, now):
-        window, used = now // self.span, 0
-        if held and held[0] == window:
-            used = held[1]
-        return used < self.capacity, [window, used + (used < self.capacity)]
 
-    def _sliding(self, held, now):
-        held = [t for t in held if t > now - self.span]
-        ok = len(held) < self.capacity
-        return ok, held + [now] if ok else held
+def _admit_token(held: list[int], now: int, span: int, rate: int, capacity: int):
+    """State: tokens, in parts of 1/span each, and the time they were counted."""
+    full = capacity * span
+    tokens = min(full, held[0] + (now - held[1]) * rate) if held else full
+    ok = tokens >= span
+    return ok, [tokens - span if ok else tokens, now]
 
-    def _token(self, held, now):
-        full = self.capacity * 1_000_000
-        tokens = full if not held else min(full, held[0] + (now - held[1]) * self.rate * 1_000_000 // self.span)
-        ok = tokens >= 1_000_000
-        return ok, [tokens - 1_000_000 * ok, now]
 
-    def close(self) -> None:
-        pass
+STRATEGIES = {"fixed_window": _admit_fixed, "sliding_window": _admit_sliding, "token_bucket": _admit_token}
 
 
 def throttle(stream: DataFrame, keys: list[str], ts: str, tie: str, rate: int, interval: str = "second",
              burst: int = 0, strategy: str = "token_bucket") -> DataFrame:
-    """Drop rows over the limit of their key.  To slow down instead of dropping, limit the source."""
-    use_rocksdb(stream.sparkSession)
+    """Admit at most ``rate + burst`` rows per key and interval, by a fixed window, a sliding window
+    or a token bucket refilled at ``rate``.  Rows over the limit are dropped; to slow down instead,
+    limit the source."""
     timed = stream.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    processor = ThrottleProcessor(stream.columns, ["_us", tie], strategy, rate, interval, burst)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, stream.schema, "Append", "none")
-
-
-# -- exact processing-time de-duplication ------------------------------------------------
-
-class SeenProcessor(StatefulProcessor):
-    """First row of an id; the mark expires ``ttl_ms`` after it was set."""
-
-    def __init__(self, columns: list[str], order: list[str], ttl_ms: int):
-        self.columns, self.order, self.ttl_ms = columns, order, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "there boolean", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            least = pdf.sort_values(self.order).head(1)
-            first = least if first is None else pd.concat([first, least]).sort_values(self.order).head(1)
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield first[self.columns]
-
-    def close(self) -> None:
-        pass
+    admit, span, columns = STRATEGIES[strategy], INTERVALS[interval], stream.columns
 
+    def limit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(frames, ["_us", tie])
+        held = [int(v) for v in state.get[0]] if state.exists else []
+        keep = []
+        for i, now in enumerate(pdf["_us"].tolist()):
+            ok, held = admit(held, now, span, rate, rate + burst)
+            if ok:
+                keep.append(i)
+        state.update((held,))
+        if keep:
+            yield pdf.iloc[keep][columns]
 
-def dedup_ttl(stream: DataFrame, id_field: str, order: list[str], ttl_seconds: int = 86_400) -> DataFrame:
-    """Drop an event whose id was let through less than ``ttl_seconds`` (processing time) ago."""
-    use_rocksdb(stream.sparkSession)
-    processor = SeenProcessor(stream.columns, order, ttl_seconds * 1000)
-    return stream.groupBy(id_field).transformWithStateInPandas(processor, stream.schema, "Append", "processingTime")
+    return timed.groupBy(*keys).applyInPandasWithState(
+        limit, stream.schema, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 # -- latest row per key ------------------------------------------------------------------

@@ -39,8 +39,7 @@ def parse_json(text: Column, schema: str | None = None) -> Column:
 
 def json_object(text: Column) -> Column:
     """JSON text as a VARIANT when it is an object, else NULL."""
-    value = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
 
 
 def rfc3339(ts: Column) -> Column:

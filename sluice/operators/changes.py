@@ -46,15 +46,16 @@ def dedupe_within(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: fl
         .select("_row.*")
     )
     instants = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).distinct()
+    if split is None:
+        split = key_sizes(df, keys)[1] > rows_per_block(df.sparkSession)
     accepted = _accepted_instants(instants, keys, int(seconds * 1_000_000), split)
     marked = firsts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     match = same_group("l", "a", [*keys, "_t"])
     return marked.alias("l").join(accepted.alias("a"), match, "left_semi").drop("_t")
 
 
-def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: bool | None) -> DataFrame:
+def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: bool) -> DataFrame:
     schema = T.StructType([*[instants.schema[k] for k in keys], T.StructField("_t", T.LongType())])
-    rows, largest = key_sizes(instants, keys)
 
     def walk(times: np.ndarray, last: int | None) -> list[int]:
         kept, at = [], 0 if last is None else int(np.searchsorted(times, last + wait))
@@ -63,14 +64,14 @@ def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: b
             at = int(np.searchsorted(times, times[at] + wait))
         return kept
 
-    if split is False or (split is None and largest <= rows_per_block(instants.sparkSession)):
+    if not split:
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_t")
             return pdf.iloc[walk(pdf["_t"].to_numpy(), None)]
 
         return instants.groupBy(*keys).applyInPandas(whole, schema)
 
-    blocked = ordered_blocks(instants, keys, [F.col("_t")], rows)
+    blocked = ordered_blocks(instants, keys, [F.col("_t")], instants.count())
     key_fields = [instants.schema[k] for k in keys]
     block_field = T.StructField(BLOCK, T.IntegerType())
     steps_schema = T.StructType([*key_fields, block_field,
@@ -158,17 +159,17 @@ def convert_upserts(df: DataFrame, entity: list[str], order: list[str], type_fie
 
 def existing_entities(df: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose entity exists."""
-    return df.join(entities.select(*keys), keys, "left_semi")
+    return df.join(entities.select(*keys).distinct(), keys, "left_semi")
 
 
 def missing_entities(df: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose entity does not exist."""
-    return df.join(entities.select(*keys), keys, "left_anti")
+    return df.join(entities.select(*keys).distinct(), keys, "left_anti")
 
 
 def unseen_events(df: DataFrame, processed: DataFrame, id_field: str) -> DataFrame:
     """Rows whose event id was not processed before; rows without an id always pass."""
-    ids = processed.select(F.col(id_field).alias("_seen")).filter(F.col("_seen").isNotNull())
+    ids = processed.select(F.col(id_field).alias("_seen")).filter(F.col("_seen").isNotNull()).distinct()
     same = F.col(id_field) == F.col("_seen")
     if isinstance(df.schema[id_field].dataType, T.StringType):
         same = same & (F.col(id_field) != "")

@@ -55,14 +55,15 @@ def remap(df: DataFrame, mappings: dict[str, str] | None = None, message: str =
     """
     new: dict[str, Column] = {"processed_at": processed_at if processed_at is not None else now_rfc3339()}
     if message_schema and message in df.columns:
-        parsed = json_object(_c(message))
+        df = df.withColumn("_parsed", json_object(_c(message)))
+        parsed = _c("_parsed")
         for field in T.StructType.fromDDL(message_schema).fields:
             value = F.try_variant_get(parsed, f"$['{field.name}']", field.dataType.simpleString())
             new[field.name] = F.coalesce(value, _c(field.name)) if field.name in df.columns else value
     for target, source in (mappings or {}).items():
         if source in df.columns:
             new[target] = _c(source)
-    return df.withColumns(new)
+    return df.withColumns(new).drop("_parsed")
 
 
 def rename(df: DataFrame, mappings: dict[str, str], drop_unmapped: bool = False) -> DataFrame:

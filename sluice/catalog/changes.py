@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.catalog.base import Tables, query, register
 from sluice.operators import changes as H, routing as R
+from sluice.operators.throttling import throttle
 
 
 def with_copies(t: Tables):
@@ -70,6 +71,20 @@ register("win_05_throttle_large_rate",
          "(PARTITION BY o_orderpriority, date_trunc('year', o_orderdate) ORDER BY o_orderdate, o_orderkey) <= 1210")
 
 
+register("win_05_throttle_fixed_one_pass",
+         lambda t: throttle(t.events.drop("props"), ["event_type"], "ts", "event_id", 2, "hour", 1, "fixed_window")
+         .select("event_id", "event_type"),
+         "SELECT event_id, event_type FROM events QUALIFY row_number() OVER "
+         "(PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3")
+# Which rows these admit depends on the rows admitted before; tests compare them with a model.
+register("win_05_throttle_sliding",
+         lambda t: throttle(t.events.drop("props"), ["event_type"], "ts", "event_id", 2, "hour", 1, "sliding_window")
+         .select("event_id", "event_type"))
+register("win_05_throttle_token_bucket",
+         lambda t: throttle(t.events.drop("props"), ["event_type"], "ts", "event_id", 2, "hour", 3, "token_bucket")
+         .select("event_id", "event_type"))
+
+
 # -- change logs -------------------------------------------------------------------------
 
 def change_log(t: Tables):

@@ -56,17 +56,17 @@ register("src_02_csv",
 
 
 def _ordered_lines(t: Tables) -> str:
-    """One file of numbered lines per event type."""
+    """Files of 3,000 numbered lines each."""
     path = scratch_path(t.spark, "lines")
-    rows = t.events.select("event_type", "event_id", F.concat_ws(" ", "event_id", "event_type").alias("value"))
-    (rows.repartition("event_type").sortWithinPartitions("event_type", "event_id")
-     .select("event_type", "value").write.partitionBy("event_type").text(path))
+    rows = t.events.select(F.floor(F.col("event_id") / 3000).alias("part"), "event_id", F.concat_ws(" ", "event_id", "event_type").alias("value"))
+    (rows.repartition("part").sortWithinPartitions("part", "event_id")
+     .select("part", "value").write.partitionBy("part").text(path))
     return path
 
 
 register("src_03_lines",
          lambda t: files.read_lines(t.spark, _ordered_lines(t)).select("line", "line_no"),
-         "SELECT event_id || ' ' || event_type AS line, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no FROM events")
+         "SELECT event_id || ' ' || event_type AS line, row_number() OVER (PARTITION BY event_id // 3000 ORDER BY event_id) AS line_no FROM events")
 
 
 @query("src_04_multi_path_glob", ALL_EVENTS)

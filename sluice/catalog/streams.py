@@ -134,6 +134,15 @@ register("str_07_throttle_fixed", _throttled("fixed_window", 2, 1),
          "SELECT event_id, event_type FROM events QUALIFY row_number() OVER "
          "(PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3")
 # Admission depends on the rows admitted before; tests compare these with a sequential model.
+@query("str_07_throttle_fixed_table", "SELECT event_id, event_type FROM events QUALIFY row_number() OVER "
+       "(PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3")
+def _(t: Tables):
+    out = scratch_path(t.spark, "throttled")
+    table = RT.ThrottleTable(t.spark, scratch_path(t.spark, "limits"), ["event_type"], "ts", "event_id", 2, "hour", 1, "fixed_window")
+    run.run_batches(_stream(t).drop("props"), table.handler(dedup.batch_store(t.spark, out)), "throttle")
+    return t.spark.read.parquet(out).select("event_id", "event_type")
+
+
 register("str_07_throttle_sliding", _throttled("sliding_window", 2, 1))
 register("str_07_throttle_token_bucket", _throttled("token_bucket", 2, 3))
 

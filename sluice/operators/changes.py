@@ -38,8 +38,11 @@ def dedupe_within(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: fl
 
     The waiting time restarts at each accepted row, so acceptance is sequential per key.  Only
     distinct (key, ts) pairs take part; a key larger than a block is cut into time blocks whose
-    effect on a carried-in timestamp is computed independently and then chained.
+    effect on a carried-in timestamp is computed independently and then chained.  Rows without
+    a time cannot be judged and pass.
     """
+    untimed = df.filter(F.col(ts).isNull())
+    df = df.filter(F.col(ts).isNotNull())
     firsts = (
         df.groupBy(*keys, ts)
         .agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(tie)).alias("_row"))
@@ -51,7 +54,7 @@ def dedupe_within(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: fl
     accepted = _accepted_instants(instants, keys, int(seconds * 1_000_000), split)
     marked = firsts.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     match = same_group("l", "a", [*keys, "_t"])
-    return marked.alias("l").join(accepted.alias("a"), match, "left_semi").drop("_t")
+    return marked.alias("l").join(accepted.alias("a"), match, "left_semi").drop("_t").unionByName(untimed)
 
 
 def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: bool) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sluice.operators.blocks import numbered
+
 
 def history(df: DataFrame, ts: str, tie: str, count: int, start=None, end=None) -> DataFrame:
     """Newest ``count`` rows of a time range; each task keeps only its own newest rows."""
@@ -35,9 +37,17 @@ def listing(df: DataFrame, filters: dict | None = None, search: tuple[str, str]
     return df
 
 
+# Rows a top-k may skip; deeper pages number the rows instead, which no single task has to hold.
+SKIPPED = 100_000
+
+
 def numbered_page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """Rows of one 1-based page."""
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    """Rows of one 1-based page, in order."""
+    skipped = (page - 1) * size
+    if skipped + size <= SKIPPED:
+        return df.orderBy(*order).offset(skipped).limit(size)
+    placed = numbered(df, [], order, "_n").filter(F.col("_n").between(skipped + 1, skipped + size))
+    return placed.orderBy("_n").drop("_n")
 
 
 def page_counts(df: DataFrame, size: int) -> DataFrame:

@@ -85,10 +85,11 @@ def write_where(df: DataFrame, condition, sink: Sink) -> None:
     sink(where(df, condition))
 
 
-def fan_out(df: DataFrame, sinks: list[tuple], keep: bool = True) -> int:
+def fan_out(df: DataFrame, sinks: list[tuple], keep: bool = False) -> int:
     """Send every record to every ``(condition, sink)``; returns the number of sinks.
 
-    ``keep`` holds the rows while the sinks read them, so that the input runs once.
+    A table is read once per sink, each with its own condition at the scan.  ``keep`` holds the
+    rows while the sinks read them: for micro-batches and for costly stages with a small output.
     """
     if keep:
         df = df.persist()
@@ -104,7 +105,7 @@ def fan_out(df: DataFrame, sinks: list[tuple], keep: bool = True) -> int:
 def fan_out_stream(stream: DataFrame, sinks: list[tuple], checkpoint: str):
     """Every micro-batch to every sink."""
     def send(batch: DataFrame, _: int) -> None:
-        fan_out(batch, sinks)
+        fan_out(batch, sinks, keep=True)
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 

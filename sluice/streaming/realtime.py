@@ -17,14 +17,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.operators.blocks import first_rows, previous_value, same_group
 from sluice.operators.changes import CREATE, DELETE, UPDATE
-from sluice.operators.predicates import to_column
 from sluice.functions.values import TypedRecord
+from sluice.operators.predicates import to_column
+from sluice.operators.throttling import INTERVALS, STRATEGIES, admitted
 from sluice.streaming.dedup import WrittenEvents
 
 def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
 
 
+def _exact(df: DataFrame, order: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Whole numbers as text on their way through pandas, which would turn a column with NULLs into
+    floating point; and the way back.  Order columns are added as ``_o0``, ``_o1``, …"""
+    whole = [f for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    packed = (df.withColumns({f"_o{i}": F.col(name) for i, name in enumerate(order)})
+              .withColumns({f.name: F.col(f.name).cast("string") for f in whole}))
+
+    def unpack(out: DataFrame) -> DataFrame:
+        return out.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in whole})
+
+    return packed, unpack
+
+
 def _filter_forms(df: DataFrame, spec, type_field: str) -> tuple[Column, Column]:
     """The filter for an event as it is, and for the same event turned into a CREATE."""
     as_is = F.coalesce(to_column(spec, TypedRecord(df.schema)), F.lit(True if not spec else False))
@@ -59,11 +73,13 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
     entity, and an entity's state holds its ids of the last ``ttl_seconds``.
     """
     as_is, as_create = _filter_forms(stream, condition, type_field)
-    judged = stream.withColumns({"_as_is": as_is, "_as_create": as_create})
+    judged, unpack = _exact(stream.withColumns({"_as_is": as_is, "_as_create": as_create}), order)
     columns = stream.columns
+    schema = judged.select(columns).schema
+    sort = [f"_o{i}" for i in range(len(order))]
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(frames, order)
+        pdf = _in_order(frames, sort)
         now = int(time.time() * 1000)
         alive, ids, marked = state.get if state.exists else (False, [], [])
         seen = {i: m for i, m in zip(ids, marked) if m > now - ttl_seconds * 1000}
@@ -89,8 +105,8 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
             out[type_field] = kinds
             yield out
 
-    return judged.groupBy(*entity).applyInPandasWithState(
-        advance, stream.schema, REALTIME_STATE, "append", GroupStateTimeout.NoTimeout)
+    return unpack(judged.groupBy(*entity).applyInPandasWithState(
+        advance, schema, REALTIME_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
 class TableChain:
@@ -173,45 +189,18 @@ def reads_field(spec, name: str) -> bool:
 
 # -- throttling --------------------------------------------------------------------------
 
-# Length of a rate interval in microseconds.
-INTERVALS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000}
-
-
-def _admit_fixed(held: list[int], now: int, span: int, rate: int, capacity: int):
-    """State: number of the window and rows admitted in it."""
-    window = now // span
-    used = held[1] if held and held[0] == window else 0
-    return used < capacity, [window, used + (used < capacity)]
-
-
-def _admit_sliding(held: list[int], now: int, span: int, rate: int, capacity: int):
-    """State: times of the rows admitted in the last interval."""
-    held = [t for t in held if t > now - span]
-    ok = len(held) < capacity
-    return ok, held + [now] if ok else held
-
-
-def _admit_token(held: list[int], now: int, span: int, rate: int, capacity: int):
-    """State: tokens, in parts of 1/span each, and the time they were counted."""
-    full = capacity * span
-    tokens = min(full, held[0] + (now - held[1]) * rate) if held else full
-    ok = tokens >= span
-    return ok, [tokens - span if ok else tokens, now]
-
-
-STRATEGIES = {"fixed_window": _admit_fixed, "sliding_window": _admit_sliding, "token_bucket": _admit_token}
-
-
 def throttle(stream: DataFrame, keys: list[str], ts: str, tie: str, rate: int, interval: str = "second",
              burst: int = 0, strategy: str = "token_bucket") -> DataFrame:
     """Admit at most ``rate + burst`` rows per key and interval, by a fixed window, a sliding window
     or a token bucket refilled at ``rate``.  Rows over the limit are dropped; to slow down instead,
-    limit the source."""
-    timed = stream.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    limit the source.  Rows without a time are dropped.  ``ThrottleTable`` is the form for keys too large for one task's memory."""
+    timed, unpack = _exact(stream.filter(F.col(ts).isNotNull()), [tie])
+    timed = timed.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     admit, span, columns = STRATEGIES[strategy], INTERVALS[interval], stream.columns
+    schema = timed.select(columns).schema
 
     def limit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(frames, ["_us", tie])
+        pdf = _in_order(frames, ["_us", "_o0"])
         held = [int(v) for v in state.get[0]] if state.exists else []
         keep = []
         for i, now in enumerate(pdf["_us"].tolist()):
@@ -222,8 +211,39 @@ def throttle(stream: DataFrame, keys: list[str], ts: str, tie: str, rate: int, i
         if keep:
             yield pdf.iloc[keep][columns]
 
-    return timed.groupBy(*keys).applyInPandasWithState(
-        limit, stream.schema, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return unpack(timed.groupBy(*keys).applyInPandasWithState(
+        limit, schema, "held array<bigint>", "append", GroupStateTimeout.NoTimeout))
+
+
+class ThrottleTable:
+    """Throttling for ``foreachBatch``, with the limiter's state per key kept as a table."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], ts: str, tie: str, rate: int,
+                 interval: str = "second", burst: int = 0, strategy: str = "token_bucket"):
+        self.spark, self.path, self.keys, self.ts, self.tie = spark, path, keys, ts, tie
+        self.limits = (rate, interval, burst, strategy)
+
+    def held(self, schema: T.StructType, batch_id: int) -> DataFrame | None:
+        """State of every key before this batch."""
+        if batch_id == 0:
+            return None
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(self.path)
+        states = rows.filter((F.col("batch") < batch_id) & F.col("_held").isNotNull())
+        return first_rows(states, self.keys, [F.desc("batch")]).select(*self.keys, "_held")
+
+    def handler(self, write: Callable[[DataFrame, int], DataFrame]):
+        """``foreachBatch`` function: limit, store the state, write the admitted rows."""
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            keyed = [batch.schema[k] for k in self.keys]
+            schema = T.StructType([*keyed, T.StructField("_tie", batch.schema[self.tie].dataType),
+                                   T.StructField("_held", T.ArrayType(T.LongType()))])
+            out = admitted(batch, self.keys, self.ts, self.tie, *self.limits, held=self.held(schema, batch_id))
+            target = f"{self.path}/batch={batch_id}"
+            out.write.mode("overwrite").parquet(target)
+            passed = self.spark.read.schema(schema).parquet(target).filter(F.col("_held").isNull()).select("_tie")
+            write(batch.join(passed, F.col(self.tie) == F.col("_tie"), "left_semi"), batch_id)
+
+        return handle
 
 
 # -- latest row per key ------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from sluice.session import scratch_path
 
 # Files one micro-batch may read; bounds the rows a stateful operator sees at once.
-MAX_FILES = 1000
+MAX_FILES = 100
 
 
 def stream_table(spark: SparkSession, path: str, schema, max_files: int = MAX_FILES) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.operators.throttling import throttle
 from sluice.session import scratch_path
 from sluice.streaming import dedup, realtime as RT, run
 
@@ -111,11 +112,8 @@ def test_expired_ids_pass_again(spark):
     assert ids.unseen(rows, 1, ["s"]).count() == 1
 
 
-@pytest.mark.parametrize("strategy", sorted(RT.STRATEGIES))
-def test_throttle(spark, strategy):
-    rate, burst, span = 6, 2, 60_000_000
-    rows = make_events()
-    out = run.run_to_table(RT.throttle(feed(spark, rows)(), ["k"], "ts", "id", rate, "minute", burst, strategy), "out")
+def limited(rows, strategy, rate, burst, span):
+    """Admitted ids by a sequential limiter."""
     want, state = [], {}
     for i, k, s, _ in sorted(rows, key=lambda r: (r[2], r[0])):
         now = s * 1_000_000
@@ -133,7 +131,32 @@ def test_throttle(spark, strategy):
             ok = tokens >= 1 - 1e-9
             state[k] = (tokens - ok, now)
         want += [i] * ok
-    assert sorted(r["id"] for r in out.collect()) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("strategy", sorted(RT.STRATEGIES))
+def test_throttle(spark, strategy):
+    rows = make_events()
+    want = limited(rows, strategy, 6, 2, 60_000_000)
+    out = run.run_to_table(RT.throttle(feed(spark, rows)(), ["k"], "ts", "id", 6, "minute", 2, strategy), "out")
+    assert sorted(r["id"] for r in out.collect()) == want
+    target = scratch_path(spark, "out")
+    table = RT.ThrottleTable(spark, scratch_path(spark, "limits"), ["k"], "ts", "id", 6, "minute", 2, strategy)
+    run.run_batches(feed(spark, rows)(), table.handler(dedup.batch_store(spark, target)), "limit")
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == want
+
+
+@pytest.mark.parametrize("strategy", sorted(RT.STRATEGIES))
+def test_throttle_as_batch(spark, strategy):
+    rows = make_events(600, seed=3)
+    df = spark.createDataFrame(rows, "id bigint, k bigint, s bigint, event_type string").withColumn("ts", F.timestamp_seconds("s"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = throttle(df.repartition(3), ["k"], "ts", "id", 4, "minute", 1, strategy)
+        assert sorted(r["id"] for r in out.collect()) == limited(rows, strategy, 4, 1, 60_000_000)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_latest_over_batches(spark):

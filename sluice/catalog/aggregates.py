@@ -70,21 +70,21 @@ def _(t: Tables):
 
 @query("agg_01_bucket_statistics", """
     SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS count,
-           round(sum(value), 2) AS sum, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg
+           round(sum(value), 2) AS sum, min(value) AS min, max(value) AS max, round(avg(value), 10) AS avg
     FROM events GROUP BY ALL""")
 def _(t: Tables):
     out = A.bucket_statistics(t.events, "ts", "value", ["event_type"])
-    out = out.withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 6)})
+    out = out.withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 10)})
     return shown(out, "window_start").drop("window_end")
 
 
 @query("agg_02_tumbling", """
     SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
            strftime(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
-           event_type, count(*) AS count, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL""")
+           event_type, count(*) AS count, round(avg(value), 10) AS avg_value FROM events GROUP BY ALL""")
 def _(t: Tables):
     out = A.window_aggregate(t.events, "ts", {"count": ("count", None), "avg_value": ("avg", "value")}, ["event_type"], "1 hour")
-    return shown(out.withColumn("avg_value", F.round("avg_value", 6)), "window_start", "window_end")
+    return shown(out.withColumn("avg_value", F.round("avg_value", 10)), "window_start", "window_end")
 
 
 @query("agg_02_sliding", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sluice.catalog.base import Tables, query, register
@@ -27,15 +27,11 @@ def _written(df: DataFrame, label: str, fmt: str = "json", **options) -> str:
 
 @query("src_01_json_array", ALL_EVENTS)
 def _(t: Tables):
-    chunk = F.floor(F.col("event_id") / 20_000)
-    body = F.to_json(F.struct(*COLUMNS))
-    first = F.row_number().over(Window.partitionBy("chunk").orderBy("event_id")) == 1
-    rows = _events(t).select(chunk.alias("chunk"), "event_id", body.alias("body"))
-    items = rows.select("chunk", "event_id", F.concat(F.when(first, "[").otherwise(","), "body").alias("value"))
-    ends = rows.groupBy("chunk").agg((F.max("event_id") + 1).alias("event_id"), F.lit("]").alias("value"))
-    lines = items.unionByName(ends).repartition("chunk").sortWithinPartitions("chunk", "event_id")
+    """Files of one array with 5,000 objects each."""
     path = scratch_path(t.spark, "array")
-    lines.select("chunk", "value").write.partitionBy("chunk").text(path)
+    items = F.array_join(F.collect_list(F.to_json(F.struct(*COLUMNS))), ",")
+    chunks = _events(t).groupBy(F.floor(F.col("event_id") / 5000).alias("chunk"))
+    chunks.agg(F.concat(F.lit("["), items, F.lit("]")).alias("value")).write.partitionBy("chunk").text(path)
     return files.read_json_array(t.spark, path, EVENT).drop("chunk")
 
 
@@ -58,9 +54,10 @@ register("src_02_csv",
 def _ordered_lines(t: Tables) -> str:
     """Files of 3,000 numbered lines each."""
     path = scratch_path(t.spark, "lines")
-    rows = t.events.select(F.floor(F.col("event_id") / 3000).alias("part"), "event_id", F.concat_ws(" ", "event_id", "event_type").alias("value"))
-    (rows.repartition("part").sortWithinPartitions("part", "event_id")
-     .select("part", "value").write.partitionBy("part").text(path))
+    line = F.struct("event_id", F.concat_ws(" ", "event_id", "event_type").alias("line"))
+    chunks = t.events.groupBy(F.floor(F.col("event_id") / 3000).alias("part"))
+    text = F.array_join(F.array_sort(F.collect_list(line))["line"], "\n")
+    chunks.agg(text.alias("value")).write.partitionBy("part").text(path)
     return path
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sluice.functions.values import TypedRecord, text_of
@@ -68,11 +70,20 @@ def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: b
         return kept
 
     if not split:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_t")
-            return pdf.iloc[walk(pdf["_t"].to_numpy(), None)]
-
-        return instants.groupBy(*keys).applyInPandas(whole, schema)
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, last = None, None
+            for batch in batches:
+                got, kept = batch.to_pydict(), []
+                for i, (key, at) in enumerate(zip(zip(*[got[k] for k in keys]), got["_t"])):
+                    if key != current:
+                        current, last = key, None
+                    if last is None or at - last >= wait:
+                        kept.append(i)
+                        last = at
+                yield batch.take(pa.array(kept, pa.int64()))
+
+        ordered = instants.repartition(*keys).sortWithinPartitions(*keys, "_t")
+        return ordered.mapInArrow(whole, schema)
 
     blocked = ordered_blocks(instants, keys, [F.col("_t")], instants.count())
     key_fields = [instants.schema[k] for k in keys]

@@ -65,12 +65,10 @@ register("win_05_throttle_fixed",
          "SELECT event_id, event_type FROM events QUALIFY row_number() OVER "
          "(PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) <= 3")
 register("win_05_throttle_large_rate",
-         lambda t: H.throttle_fixed(t.orders, ["o_orderpriority"], "o_orderdate", "o_orderkey", 1200, "year", burst=10)
-         .select("o_orderkey", "o_orderpriority"),
-         "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER "
-         "(PARTITION BY o_orderpriority, date_trunc('year', o_orderdate) ORDER BY o_orderdate, o_orderkey) <= 1210")
-
-
+         lambda t: H.throttle_fixed(t.events.drop("props"), ["event_type"], "ts", "event_id", 1200, "month", burst=10)
+         .select("event_id", "event_type"),
+         "SELECT event_id, event_type FROM events QUALIFY row_number() OVER "
+         "(PARTITION BY event_type, date_trunc('month', ts) ORDER BY ts, event_id) <= 1210")
 register("win_05_throttle_fixed_one_pass",
          lambda t: throttle(t.events.drop("props"), ["event_type"], "ts", "event_id", 2, "hour", 1, "fixed_window")
          .select("event_id", "event_type"),

@@ -60,36 +60,45 @@ def dedupe_within(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: fl
 
 
 def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: bool) -> DataFrame:
-    schema = T.StructType([*[instants.schema[k] for k in keys], T.StructField("_t", T.LongType())])
-
-    def walk(times: np.ndarray, last: int | None) -> list[int]:
-        kept, at = [], 0 if last is None else int(np.searchsorted(times, last + wait))
-        while at < len(times):
-            kept.append(at)
-            at = int(np.searchsorted(times, times[at] + wait))
-        return kept
-
+    """(key, _t) pairs that are accepted."""
     if not split:
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            current, last = None, None
-            for batch in batches:
-                got, kept = batch.to_pydict(), []
-                for i, (key, at) in enumerate(zip(zip(*[got[k] for k in keys]), got["_t"])):
-                    if key != current:
-                        current, last = key, None
-                    if last is None or at - last >= wait:
-                        kept.append(i)
-                        last = at
-                yield batch.take(pa.array(kept, pa.int64()))
-
-        ordered = instants.repartition(*keys).sortWithinPartitions(*keys, "_t")
-        return ordered.mapInArrow(whole, schema)
-
+        return _walk_accepted(instants.withColumn("_last", F.lit(None).cast("bigint")), keys, keys, wait)
     blocked = ordered_blocks(instants, keys, [F.col("_t")], instants.count())
-    key_fields = [instants.schema[k] for k in keys]
+    names = [*keys, BLOCK]
+    # Only keys that span blocks need a carry; there are fewer of them than blocks.
+    spread = (blocked.groupBy(*keys).agg(F.min(BLOCK).alias("_from"), F.max(BLOCK).alias("_to"))
+              .filter("_from < _to").select(*keys))
+    wide = blocked.alias("b").join(F.broadcast(spread.alias("s")), same_group("b", "s", keys), "left_semi")
+    carry = _block_carries(wide, keys, wait)
+    placed = (blocked.alias("b").join(F.broadcast(carry.alias("c")), same_group("b", "c", names), "left")
+              .select("b.*", "c._last"))
+    return _walk_accepted(placed, keys, names, wait)
+
+
+def _walk_accepted(rows: DataFrame, keys: list[str], group: list[str], wait: int) -> DataFrame:
+    """Accept in time order within each group, starting from its ``_last`` accepted time.  One pass
+    over sorted rows; nothing but the current group's last accepted time is held."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            got, kept = batch.to_pydict(), []
+            for i, (name, at, start) in enumerate(zip(zip(*[got[g] for g in group]), got["_t"], got["_last"])):
+                if name != current:
+                    current, last = name, start
+                if last is None or at - last >= wait:
+                    kept.append(i)
+                    last = at
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    ordered = rows.repartition(*group).sortWithinPartitions(*group, "_t")
+    return ordered.mapInArrow(walk, rows.schema).select(*keys, "_t")
+
+
+def _block_carries(blocked: DataFrame, keys: list[str], wait: int) -> DataFrame:
+    """Last accepted time before each block of each key, as ``keys, _block, _last``."""
+    key_fields = [blocked.schema[k] for k in keys]
     block_field = T.StructField(BLOCK, T.IntegerType())
-    steps_schema = T.StructType([*key_fields, block_field,
-                                 T.StructField("first", T.LongType()), T.StructField("upto", T.LongType()),
+    steps_schema = T.StructType([*key_fields, block_field, T.StructField("upto", T.LongType()),
                                  T.StructField("leaves", T.LongType())])
 
     def block_steps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,25 +108,24 @@ def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: b
         previous ``upto``) ends at ``leaves``.
         """
         times = np.sort(pdf["_t"].to_numpy())
-        jump = np.searchsorted(times, times + wait)
-        end = np.append(np.arange(len(times)), len(times))
-        hop = np.append(jump, len(times))
+        hop = np.append(np.searchsorted(times, times + wait), len(times))
+        end = np.arange(len(times) + 1)
         while True:
             nxt = hop[end]
             moved = nxt < len(times)
-            if not moved[:-1].any():
+            if not moved.any():
                 break
             end = np.where(moved, end[np.where(moved, nxt, 0)], end)
         starts = np.arange(min(int(np.searchsorted(times, times[0] + wait)) + 1, len(times)))
         leaves = times[end[starts]]
         edge = np.append(leaves[1:] != leaves[:-1], True)
-        out = pd.DataFrame({"first": times[0], "upto": times[starts][edge], "leaves": leaves[edge]})
+        out = pd.DataFrame({"upto": times[starts][edge], "leaves": leaves[edge]})
         for name in [*keys, BLOCK]:
             out[name] = pdf[name].iloc[0]
         return out
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Last accepted time before each block of one key."""
+        """Walk over the step functions of one key's blocks."""
         out, last = [], None
         for block, part in pdf.sort_values([BLOCK, "upto"]).groupby(BLOCK, sort=True):
             out.append((block, last))
@@ -131,20 +139,9 @@ def _accepted_instants(instants: DataFrame, keys: list[str], wait: int, split: b
             got[name] = pdf[name].iloc[0]
         return got
 
-    names = [*keys, BLOCK]
-    steps = blocked.groupBy(*names).applyInPandas(block_steps, steps_schema)
+    steps = blocked.groupBy(*keys, BLOCK).applyInPandas(block_steps, steps_schema)
     carry_schema = T.StructType([*key_fields, block_field, T.StructField("_last", T.LongType())])
-    carry = steps.groupBy(*keys).applyInPandas(chain, carry_schema).filter(F.col("_last").isNotNull())
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        last = pdf["_last"].iloc[0]
-        kept = walk(pdf["_t"].to_numpy(), None if pd.isna(last) else int(last))
-        return pdf.iloc[kept][[*keys, "_t"]]
-
-    placed = (blocked.alias("b").join(F.broadcast(carry.alias("c")), same_group("b", "c", names), "left")
-              .select("b.*", "c._last"))
-    return placed.groupBy(*names).applyInPandas(inside, schema)
+    return steps.groupBy(*keys).applyInPandas(chain, carry_schema).filter(F.col("_last").isNotNull())
 
 
 # -- upserts -----------------------------------------------------------------------------

@@ -138,7 +138,7 @@ def test_summary(spark):
 
 
 class TestKnownDisagreements:
-    """The reference's filter implementations differ in places; these pin the choice made here."""
+    """Points on which filter implementations differ; these pin the choice made here."""
 
     def test_or_binds_weaker_than_and(self, spark):
         assert passed(spark, {"a": 1, "b": 2, "c": 3}, ".a == 1 || .b == 9 && .c == 9")

@@ -29,9 +29,9 @@ from sluice.llm.base import BLANKS, Sender, query, rows, table, text_bytes
 from sluice.session import scratch_path, stored
 
 # Text bytes a scan task holds for chaining before it starts afresh.
-WINDOW_BYTES = 48 << 20
+WINDOW_BYTES = 16 << 20
 # Text bytes of a bucket before the directory is doubled.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 # Hash bits looked at per doubling pass; bounds the histogram that the driver reads in one go.
 BITS = 12
 

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
 # Words a worker remembers (entries stay once the memory is full) and the longest of them.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 LONGEST = 48
 
+# Byte-level vocabularies write each byte as a printable character: itself where it is one, else the next from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 _TAIL = re.compile(rb"[.,;:!?]+\Z")
 _kept: dict[str, Words] = {}
 
@@ -30,9 +35,19 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.parts: dict[bytes, bytes] = {}
 
     def encode(self, word: bytes) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word.lower().decode())])
+        else:
+            # A word of letters is one piece for the merges; the rest goes through the tokenizer's own rules.
+            letters = "".join(map(str.lower, word.decode("utf-8", "replace")))
+            if letters.isalpha() and unicodedata.is_normalized("NFC", word.decode("utf-8", "replace")):
+                written = letters.encode().decode("latin-1").translate(_BYTE_CHARS)
+                return b"".join([t.id.to_bytes(4, "little") for t in self.merge(written)])
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 

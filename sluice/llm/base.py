@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sluice.session import scratch_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -80,6 +82,13 @@ def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder as compressed columns and go on from there; for large intermediate tables."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def file_bytes(df: DataFrame) -> int:
     """Size of the text column, an exact figure from one narrow pass."""
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

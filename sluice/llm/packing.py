@@ -3,13 +3,14 @@
 Only documents longer than a sequence are cut, into whole sequences and a rest.  Pieces are placed by falling size classes.
 A round of a class works on its unplaced pieces and on the gaps that can hold some of them:
 
-1. Pieces and gaps are range-sorted together by size, pieces first where sizes are equal.  A gap with room for
+1. Pieces and gaps are range-sorted together by falling size, gaps first where sizes are equal.  A gap with room for
    several of the class's largest pieces offers that many equal slots.
-2. Sweep: a piece's successor is the first slot at or above its size, known from the number of slots sorted before it.  Tasks sweep
-   their ranges alone; what the ranges before them hold is added from a table with one row per task.
-3. Conflicts: pieces with the same successor take the slots that follow, by rank.  With s(j) slots before piece j the slot of piece j is
-   j + max over i <= j of (s(i) - i), a running maximum.
-4. Pieces meet their slots in a join on the slot's rank, gaps shrink, and the round is repeated until nothing more fits.
+2. Sweep: a slot's successor in this order is the largest piece that fits it, known from the number of pieces sorted before it.  Tasks
+   sweep their ranges alone; what the ranges before them hold is added from a table with one row per task.
+3. Conflicts: slots with the same successor take the pieces that follow, by rank.  With p(j) pieces before slot j the piece of slot j is
+   j + max over i <= j of (p(i) - i), a running maximum.
+4. Slots meet their pieces in a join on the piece's rank, gaps shrink, and the round is repeated until hardly anything fits
+   (less than one in ``LAST`` of what is left).
 
 What is left of a class opens sequences, as many pieces to each as are sure to fit; their rests are gaps of the classes below.
 
@@ -31,6 +32,7 @@ from sluice.llm.tokens import END_ID, encode, vocabulary_path, words_of
 from sluice.session import stored
 
 CAPACITY = 4096
+LAST = 64
 
 _PIECE = pa.schema([("uid", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -75,20 +77,20 @@ def classes(capacity: int) -> list[tuple[int, int]]:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks of pieces and slots within this task's range, and the running maximum of (slots - pieces) before each piece."""
+    """Ranks of slots (kind 0) and pieces (1) within this task's range, and the running maximum of (pieces - slots) before each slot."""
     part = TaskContext.get().partitionId()
-    pieces_, slots, lead = 0, 0, -(1 << 62)
+    slots, pieces_, lead = 0, 0, -(1 << 62)
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         if not len(kind):
             continue
-        piece = kind == 0
-        rank_piece = pieces_ + np.cumsum(piece) - piece
-        rank_slot = slots + np.cumsum(~piece) - ~piece
-        ahead = np.maximum(lead, np.maximum.accumulate(np.where(piece, rank_slot - rank_piece, -(1 << 62))))
-        pieces_, slots, lead = int(pieces_ + piece.sum()), int(slots + (~piece).sum()), int(ahead[-1])
+        slot = kind == 0
+        rank_slot = slots + np.cumsum(slot) - slot
+        rank_piece = pieces_ + np.cumsum(~slot) - ~slot
+        ahead = np.maximum(lead, np.maximum.accumulate(np.where(slot, rank_piece - rank_slot, -(1 << 62))))
+        slots, pieces_, lead = int(slots + slot.sum()), int(pieces_ + (~slot).sum()), int(ahead[-1])
         yield pa.record_batch([pa.array(np.full(len(kind), part, np.int32)), batch.column("kind"), batch.column("id"), batch.column("slot"),
-                               batch.column("size"), pa.array(np.where(piece, rank_piece, rank_slot)), pa.array(ahead)], schema=_SWEPT)
+                               batch.column("size"), pa.array(np.where(slot, rank_slot, rank_piece)), pa.array(ahead)], schema=_SWEPT)
 
 
 def _round(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
@@ -96,26 +98,25 @@ def _round(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
     spark = todo.sparkSession
     slots = F.greatest(F.lit(1), F.expr(f"room div {high}")).cast("int")
     offered = (gaps.filter(F.col("room") > low).select("seq", "room", slots.alias("slots"))
-               .select(F.lit(1).alias("kind"), F.col("seq").alias("id"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
+               .select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
                        F.expr("room div slots").alias("size")))
-    both = todo.select(F.lit(0).alias("kind"), F.col("uid").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size")).unionByName(offered)
-    order = ["size", "kind", "id", "slot"]
+    both = offered.unionByName(todo.select(F.lit(1).alias("kind"), F.col("uid").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size")))
+    order = [F.col("size").desc(), F.col("kind"), F.col("id"), F.col("slot")]
     swept = stored(both.repartitionByRange(*order).sortWithinPartitions(*order).select("kind", "id", "slot", "size").mapInArrow(
         _sweep, "part int, kind int, id long, slot int, size long, rank long, lead long"))
     # A row per task that had rows.
-    ends = swept.groupBy("part").agg(F.sum((F.col("kind") == 0).cast("bigint")).alias("p"), F.sum("kind").cast("bigint").alias("s"),
+    ends = swept.groupBy("part").agg(F.sum((F.col("kind") == 0).cast("bigint")).alias("s"), F.sum("kind").cast("bigint").alias("p"),
                                      F.max("lead").alias("lead")).orderBy("part").collect()
-    before, p, s, lead = [], 0, 0, -(1 << 62)
+    before, s, p, lead = [], 0, 0, -(1 << 62)
     for end in ends:
-        before.append((end["part"], p, s, lead))
-        lead = max(lead, s - p + end["lead"])
-        p, s = p + end["p"], s + end["s"]
-    carry = F.broadcast(spark.createDataFrame(before, "part int, p long, s long, l long"))
+        before.append((end["part"], s, p, lead))
+        lead = max(lead, p - s + end["lead"])
+        s, p = s + end["s"], p + end["p"]
+    carry = F.broadcast(spark.createDataFrame(before, "part int, s long, p long, l long"))
     placed = swept.join(carry, "part")
-    j = F.col("rank") + F.col("p")
-    wanted = placed.filter("kind = 0").select(F.col("id").alias("uid"), "size",
-                                              (j + F.greatest("l", F.col("s") - F.col("p") + F.col("lead"))).alias("at")).filter(F.col("at") < s)
-    there = placed.filter("kind = 1").select((F.col("rank") + F.col("s")).alias("at"), "id", "slot")
+    ahead = F.greatest("l", F.col("p") - F.col("s") + F.col("lead"))
+    wanted = placed.filter("kind = 0").select("id", "slot", (F.col("rank") + F.col("s") + ahead).alias("at")).filter(F.col("at") < p)
+    there = placed.filter("kind = 1").select((F.col("rank") + F.col("p")).alias("at"), F.col("id").alias("uid"), "size")
     return wanted.join(there, "at").select("uid", "size", "id", "slot")
 
 
@@ -142,6 +143,8 @@ def assign(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             gaps = stored(gaps.join(taken, "seq", "left").select("seq", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")).filter("room > 0"))
             left -= fitted
             todo = stored(todo.join(matched.select("uid"), "uid", "left_anti"))
+            if fitted * LAST < left:
+                break
         if left:
             opened = stored(_open(todo, capacity, capacity // high))
             out.append(opened.select("uid", "seq", "offset"))

@@ -249,3 +249,13 @@ STAGE = Rule(words=5, share=80)
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), OP3)
+
+
+def drop_near_copies(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all its columns; of rows that repeat it one stays.
+
+    Documents without words are linked with nothing and stay.
+    """
+    groups = near_groups(docs, rule)
+    out = groups.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)

@@ -168,7 +168,7 @@ def repeat_to_targets(docs: DataFrame, seed: int = 7) -> DataFrame:
     Identical rows share their repeats evenly.  Documents without words have no part in a mix and go.
     """
     shares = (mixed(docs, seed).groupBy("doc_id", "source", "text_hash")
-              .agg((F.sum("taken") / F.sum("size")).alias("_times")).select(
+              .agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times")).select(
                   F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"),
                   F.round("_times").cast("int").alias("_times")).filter("_times > 0"))
     joined = docs.withColumn("_own", F.xxhash64("text")).join(

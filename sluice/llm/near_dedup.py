@@ -8,11 +8,14 @@ similarity bound are expected to show.
 
 1. Documents with equal sets form a class; only class representatives are joined.
 2. Keys that one representative has alone are dropped in a sorted pass.
-3. Pairs are not enumerated at first: at each key all meet the representative that shares most keys with others (the original among its copies, as
-   a rule).  Close ones are confirmed on full sets; components follow.
-4. Then all pairs that share a key and are still in different components are tested in the same way.  So every link between different
-   components is looked at, and pairs within a component need not be.
-5. Membership is joined back.
+3. Pairs at a key are not enumerated.  Each key has a hub, the representative that shares most keys with others (the original among its copies,
+   as a rule), and all who meet at the key join the hub's group.  So any close pair stands together in some group.
+4. Within a group, members are reduced to their symmetric difference with the hub's set, short for near copies.  With
+   i(x) the elements x has in common with hub c, two members have i(x) + i(y) - |c| + |D(x) & D(y)| in common: an inverted index over the
+   differences gives that exactly for one member against all others.  Members linked to the hub need not be compared with
+   each other.  A group of more than ``GROUP_CELLS`` elements is dealt into blocks and each pair of blocks is worked on apart.
+   A group sends no more links than hold its components together.
+5. Components over all links; membership is joined back.
 
 NULL and blank texts have empty sets, are linked with nothing and stay.  A NULL doc_id sorts before all others.  Rows that repeat a
 doc_id count as one document; where their texts differ, links to other classes are confirmed on the least text.
@@ -36,8 +39,8 @@ from sluice.session import stored
 PARTS = 64
 ERRORS = 1
 SPREAD = 5.0
-# Members of a hub that are compared in one task.
-SALT_ROWS = 20_000
+# Elements of one block of a group, hub's copies included.
+GROUP_CELLS = 3_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(b"factor%d" % i) | 1 for i in range(PARTS)], np.uint64)[:, None]
@@ -147,98 +150,121 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield as_batch(_KEYED, [waiting[0]], [waiting[1]])
 
 
-def _close(distance: int):
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PARTS) for c in ("sig_a", "sig_b"))
-            good = (one != two).sum(axis=1) <= distance
-            yield pa.record_batch([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
-
-    return close
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class Group:
+    """A hub and members of its group, as differences to the hub's set."""
+
+    def __init__(self, rule: Rule, hub: int, values: np.ndarray):
+        self.rule, self.names, self.hub = rule, [hub], values
+        self.common, self.sizes, self.parts = [len(values)], [len(values)], [np.zeros(0, np.uint64)]
+
+    def add(self, name: int, values: np.ndarray) -> None:
+        self.names.append(name)
+        self.common.append(len(np.intersect1d(self.hub, values, assume_unique=True)))
+        self.sizes.append(len(values))
+        self.parts.append(np.setxor1d(self.hub, values, assume_unique=True))
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that hold the components of this group together."""
+        common, sizes = np.array(self.common), np.array(self.sizes)
+        parent = list(range(len(common)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        near = self._linked(common, sizes, sizes[0])
+        for other in np.flatnonzero(near)[1:]:
+            parent[other] = 0
+            out.append((self.names[0], self.names[other]))
+        alone = np.flatnonzero(~near)
+        if not len(alone):
+            return out
+        lengths = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
+        flat = np.concatenate(self.parts)
+        order = np.argsort(flat, kind="stable")
+        member, flat = np.repeat(np.arange(len(lengths)), lengths)[order], flat[order]
+        for x in alone:
+            first, last = np.searchsorted(flat, self.parts[x], "left"), np.searchsorted(flat, self.parts[x], "right")
+            count = last - first
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            shared = np.bincount(member[at], minlength=len(common))
+            for y in np.flatnonzero(self._linked(common[x] + common - common[0] + shared, sizes, sizes[x])):
+                one, two = find(int(x)), find(int(y))
+                if one != two:
+                    parent[max(one, two)] = min(one, two)
+                    out.append((self.names[x], self.names[y]))
+        return out
+
+    def _linked(self, common: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+        return 100 * common >= self.rule.share * (sizes + size - common)
 
 
 def _confirm(rule: Rule):
-    """Rows sorted by (hub, salt, own): the hub's text first, then its partners'."""
+    """Rows sorted by (hub, one, two, own): the hub's text first, then those of its members."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = Sender(_LINK)
-        at, base = None, None
+        at, group = None, None
         for batch in batches:
-            for hub, salt, _, rep, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hub, one, two, _, rep, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = shingles(text, rule.words)
-                if (hub, salt) != at:
-                    at, base = (hub, salt), values
+                if (hub, one, two) == at:
+                    group.add(rep, values)
                     continue
-                common = len(np.intersect1d(base, values, assume_unique=True))
-                if 100 * common >= rule.share * (len(base) + len(values) - common) and send.add((hub, rep)):
-                    yield send.take()
+                for link in group.links() if group else ():
+                    if send.add(link):
+                        yield send.take()
+                at, group = (hub, one, two), Group(rule, rep, values)
+        for link in group.links() if group else ():
+            if send.add(link):
+                yield send.take()
         yield send.take()
 
     return confirm
 
 
-def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a: hub, b) that hold on full sets."""
-    sides = [signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab"]
-    close = stored(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b")
-                   .mapInArrow(_close(rule.distance), "a long, b long"))
-    spans = close.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("spans"))
-    dealt = close.join(spans, "a")
-    partners = dealt.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("spans")).cast("int").alias("salt"),
-                            F.lit(1).alias("own"), F.col("b").alias("rep"))
-    hubs = spans.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("spans") - 1)).alias("salt"),
-                        F.lit(0).alias("own"), F.col("a").alias("rep"))
-    rows = partners.unionByName(hubs).join(texts, "rep").select("hub", "salt", "own", "rep", "text")
-    return stored(rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "own").mapInArrow(_confirm(rule), "a long, b long"))
+def _links(star: DataFrame, sizes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Confirmed links within the groups of ``star`` (hub, rep); ``sizes``: rep, n."""
+    counted = star.join(sizes, "rep").groupBy("hub").agg(F.sum("n").alias("cells"), F.count("*").alias("members"))
+    blocks = counted.join(sizes, F.col("hub") == F.col("rep")).select(
+        "hub", F.ceil((F.col("cells") + F.col("members") * F.col("n")) / GROUP_CELLS).cast("int").alias("blocks"))
+    dealt = star.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    members = dealt.select("hub", "rep", "block", other).select(
+        "hub", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.lit(1).alias("own"), "rep")
+    pairs = blocks.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hubs = pairs.select("hub", "one", F.explode(F.sequence("one", F.col("blocks") - 1)).alias("two"), F.lit(0).alias("own"), F.col("hub").alias("rep"))
+    rows = members.unionByName(hubs).join(texts, "rep").select("hub", "one", "two", "own", "rep", "text")
+    return (rows.repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two", "own", "rep")
+            .mapInArrow(_confirm(rule), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id and links for every row of ``docs`` (doc_id, text).
-
-    class_id is the smallest doc_id with an equal set; links counts the confirmed links of the class to other classes.
-    """
+    """doc_id, n_shingles, component_id, kept and class_id (the smallest doc_id with an equal set) for every row of ``docs`` (doc_id, text)."""
     keyed = docs.select(id_key().alias("doc"), text_bytes().alias("text"))
     signed = kept(keyed.mapInArrow(_sign(rule.words), "doc long, n long, whole binary, sig binary"), "signatures")
-    classes = stored(signed.filter("n > 0").groupBy("whole").agg(F.min("doc").alias("rep"), F.min("sig").alias("sig")))
-    own = classes.select("rep", "sig").groupBy("rep").agg(F.min("sig").alias("sig"))
+    classes = kept(signed.filter("n > 0").groupBy("whole").agg(F.min("doc").alias("rep"), F.min("sig").alias("sig"), F.min("n").alias("n")), "classes")
     met = kept(classes.select("rep", "sig").mapInArrow(_enumerate(rule.chunks), "key long, rep long").repartition("key")
                .sortWithinPartitions("key").mapInArrow(_shared, "key long, rep long"), "keys").distinct()
-    own = stored(own.join(met.select("rep").distinct(), "rep", "left_semi"))
-    texts = kept(keyed.join(own.select(F.col("rep").alias("doc")), "doc", "left_semi").groupBy(F.col("doc").alias("rep"))
+    sizes = stored(classes.groupBy("rep").agg(F.max("n").alias("n")).join(met.select("rep").distinct(), "rep", "left_semi"))
+    texts = kept(keyed.join(sizes.select(F.col("rep").alias("doc")), "doc", "left_semi").groupBy(F.col("doc").alias("rep"))
                  .agg(F.min("text").alias("text")), "texts")
-    sizes = met.groupBy("key").agg(F.count("*").alias("size"))
-    rank = met.join(sizes, "key").groupBy("rep").agg(F.sum("size").alias("shared"))
+    many = met.groupBy("key").agg(F.count("*").alias("size"))
+    rank = met.join(many, "key").groupBy("rep").agg(F.sum("size").alias("shared"))
     hub = met.join(rank, "rep").groupBy("key").agg(F.min(F.struct(-F.col("shared"), "rep")).getField("rep").alias("hub"))
-    star = met.join(hub, "key").filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _links(star, own, texts, rule)
-    label = _labels(first)
-    placed = met.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    spread = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    mixed = stored(placed.join(spread, "key"))
-    one, two = mixed.alias("x"), mixed.alias("y")
-    rest = (one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
-            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    second = _links(rest, own, texts, rule)
-    links = first.unionByName(second)
-    label = _labels(links)
-    degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count("*").alias("links")))
-    of_class = (classes.select("whole", "rep").join(label, F.col("rep") == F.col("node"), "left").drop("node")
-                .join(degree, F.col("rep") == F.col("node"), "left")
-                .select("whole", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    star = stored(met.join(hub, "key").filter("rep <> hub").select("hub", "rep").distinct())
+    label = components(_links(star, sizes, texts, rule))
+    of_class = (classes.select("whole", "rep").join(label, F.col("rep") == F.col("node"), "left")
+                .select("whole", "rep", F.coalesce("component", "rep").alias("component")))
     out = signed.select("doc", "n", "whole").join(of_class, "whole", "left")
     return out.select(from_key(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       from_key(F.coalesce("component", "doc")).alias("component_id"),
-                      (F.coalesce("component", "doc") == F.col("doc")).alias("kept"),
-                      from_key(F.coalesce("rep", "doc")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    return stored(components(links))
+                      (F.coalesce("component", "doc") == F.col("doc")).alias("kept"), from_key(F.coalesce("rep", "doc")).alias("class_id"))
 
 
 OP3 = Rule(words=3, share=85)

@@ -76,8 +76,10 @@ def test_groups_equal_brute_force(small_docs, rule):
     assert any(not g[3] for g in same_groups(small_docs, rule))
 
 
-def test_groups_of_odd_rows_and_families(odd_docs, spark):
-    same_groups(odd_docs.filter("doc_id is null or doc_id <> 8"), near_dedup.OP3)
+@pytest.mark.parametrize("cells", [3_000_000, 900])
+def test_groups_of_odd_rows_and_families(odd_docs, spark, monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "GROUP_CELLS", cells)
+    same_groups(odd_docs.filter("doc_id <> 8 or doc_id is null and text is not null"), near_dedup.OP3)
     assert near_dedup.near_groups(odd_docs.limit(0), near_dedup.OP3).count() == 0
     rng = np.random.default_rng(6)
     rows = []

@@ -26,6 +26,7 @@ class Tables:
 def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         return build(Tables(spark, folder))
 
     if name in QUERIES:

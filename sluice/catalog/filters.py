@@ -25,9 +25,9 @@ _filtered("flt_03_gt", "orders", P.all_of(C("o_totalprice", "gt", 250000), C("o_
           ORDER, "o_totalprice > 250000 AND o_orderpriority > '2-HIGH'")
 _filtered("flt_04_gte", "lineitem", C("l_quantity", "gte", "45"), ["l_orderkey", "l_linenumber", "l_quantity"],
           "l_quantity >= 45")
-_filtered("flt_05_lt", "lineitem", P.all_of(C("l_discount", "lt", 0.02), C("l_shipdate", "lt", "1995-01-01")),
+_filtered("flt_05_lt", "lineitem", P.all_of(C("l_discount", "lt", 0.02), C("l_shipdate", "lt", "1998-01-01")),
           ["l_orderkey", "l_linenumber", "l_discount"],
-          "l_discount < 0.02 AND strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') < '1995-01-01'")
+          "l_discount < 0.02 AND strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') < '1998-01-01'")
 _filtered("flt_06_lte", "part", C("p_size", "lte", 10), ["p_partkey", "p_size"], "p_size <= 10")
 _filtered("flt_07_contains", "documents", P.any_of(C("text", "contains", "the "), C("n_chars", "contains", "77")),
           ["doc_id", "lang"], "contains(text, 'the ') OR contains(CAST(n_chars AS VARCHAR), '77')")

@@ -82,7 +82,7 @@ def _topic(t: Tables, topic: str, kind: str):
 
 
 @query("set_02_several_topics", """
-    SELECT CASE event_type WHEN 'click' THEN 'clicks' ELSE 'views' END AS origin, event_id FROM events WHERE event_type IN ('click', 'view')""")
+    SELECT event_type || 's' AS origin, event_id FROM events""")
 def _(t: Tables):
-    both = X.union_sources([_topic(t, "clicks", "click"), _topic(t, "views", "view")])
-    return messages.record_fields(messages.decode_kafka(both), "event_id bigint").select(F.col("_meta.origin").alias("origin"), "event_id")
+    topics = X.union_sources([_topic(t, f"{kind}s", kind) for kind in ("click", "view", "error", "signup", "purchase")])
+    return messages.record_fields(messages.decode_kafka(topics), "event_id bigint").select(F.col("_meta.origin").alias("origin"), "event_id")

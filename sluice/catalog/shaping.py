@@ -162,12 +162,12 @@ def _(t: Tables):
     return dataflow.build(t.spark, {"stages": [{"type": "double_balance", "config": {"floor": 0}}]}, t.customer)
 
 
-@query("udf_03_row_stage", "SELECT doc_id, length(text) AS letters FROM documents WHERE lang = 'en'")
+@query("udf_03_row_stage", "SELECT doc_id, length(text) AS letters FROM documents WHERE n_chars >= 0")
 def _(t: Tables):
     def rows(frames):
         for pdf in frames:
             yield pdf.assign(letters=pdf["text"].str.len())[["doc_id", "letters"]]
 
     dataflow.register_row_stage("count_letters", rows, "doc_id bigint, letters bigint")
-    stages = [{"type": "filter", "config": {"condition": ".lang == 'en'"}}, {"type": "count_letters"}]
-    return dataflow.build(t.spark, {"stages": stages}, t.documents.select("doc_id", "text", "lang"))
+    stages = [{"type": "filter", "config": {"condition": ".n_chars >= 0"}}, {"type": "count_letters"}]
+    return dataflow.build(t.spark, {"stages": stages}, t.documents.select("doc_id", "text", "n_chars"))

@@ -90,6 +90,49 @@ def _(t: Tables):
     return tables.incremental(t.orders, "o_orderkey", int(marks.get("orders"))).select("o_orderkey", "o_custkey")
 
 
+@query("src_08_poll_drained", "SELECT event_id, event_type FROM events WHERE event_id > 500 AND event_type <> 'view'")
+def _(t: Tables):
+    """Every page of the table, each in an order other than the id's."""
+    out, marks = scratch_path(t.spark, "polled"), tables.MarkStore(t.spark, scratch_path(t.spark, "marks"))
+    size = -(-t.events.count() // 7)
+    for _mark in tables.poll_all(t.events, lambda df: df.write.mode("append").parquet(out), marks, "events", 500, id_column="event_id",
+                                 columns=["event_type"], condition=".event_type != 'view'", order_by="event_type", batch_size=size):
+        pass
+    return t.spark.read.parquet(out).select("event_id", "event_type")
+
+
+@query("src_08_event_source", "SELECT event_id, event_type FROM events WHERE event_id > 500 AND event_type <> 'view'")
+def _(t: Tables):
+    return registry.load(t.spark, {"type": "sql_event", "table": {"type": "parquet", "path": t.path("events")}, "last": 500,
+                                   "options": {"id_column": "event_id", "columns": ["event_type"], "condition": ".event_type != 'view'"}}
+                         ).select("event_id", "event_type")
+
+
+@query("src_01_json_auto", "SELECT event_id, event_type, event_type || ' ' || user_id AS label FROM events")
+def _(t: Tables):
+    """Array files and files of lines in one folder, with lines that are not records."""
+    path = scratch_path(t.spark, "mixed")
+    label = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))
+    record = F.to_json(F.struct("event_id", "event_type", label.alias("label")))
+    odd = F.col("event_id") % 2 == 1
+    lines = t.events.filter(odd).select(F.concat(F.lit("\t"), record).alias("value"))
+    wrong = t.events.select(F.explode(F.array(F.lit('"x"'), F.lit('{"event_id": 1} x'), F.lit("{broken"), F.lit("7"))).alias("value"))
+    lines.unionByName(wrong).write.text(f"{path}/lines")
+    arrays = t.events.filter(~odd).groupBy((F.col("event_id") % 5).alias("part")).agg(F.concat_ws(",\n", F.collect_list(record)).alias("items"))
+    arrays.repartition(5, "part").select(F.concat(F.lit("\n[ "), "items", F.lit("]")).alias("value")).write.text(f"{path}/arrays")
+    out = registry.load(t.spark, {"type": "file", "format": "json", "path": [f"{path}/lines", f"{path}/arrays"],
+                                  "schema": "event_id bigint, event_type string, label string"})
+    return out
+
+
+@query("src_09_repeated_headers", "SELECT event_id, 'b' || event_id AS trace FROM events")
+def _(t: Tables):
+    header = lambda mark: F.struct(F.lit("trace").alias("key"), F.encode(F.concat(F.lit(mark), F.col("event_id")), "UTF-8").alias("value"))
+    rows = t.events.select(messages.kafka_rows(F.col("user_id").cast("string"), F.to_json(F.struct("event_id")), F.lit("e"), F.lit(0), F.col("event_id"),
+                                               F.col("ts"), F.array(header("a"), header("b"))))
+    return messages.record_fields(messages.decode_kafka(rows), "event_id bigint").select("event_id", F.col("_headers")["trace"].alias("trace"))
+
+
 register("src_08_event_table_poll",
          lambda t: tables.poll(t.events, 500, "event_id", ["event_id", "event_type"], ".event_type != 'view'", batch_size=1000),
          "SELECT event_id, event_type FROM events WHERE event_id > 500 AND event_type <> 'view' ORDER BY event_id LIMIT 1000")
@@ -211,11 +254,11 @@ for _kind, _stop, _compare in [("page_increment", "page_id % 7 = 6", "<"), ("nex
              _stop_sql(_stop, _compare))
 
 
-@query("src_16_partitioned_source", ALL_EVENTS + " WHERE event_type IN ('click', 'view', 'error')")
+@query("src_16_partitioned_source", ALL_EVENTS + " WHERE event_type <> 'signup'")
 def _(t: Tables):
     path = scratch_path(t.spark, "parts")
     _events(t).withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(path)
-    parts = [{"enabled": k != "signup", "config": {"path": f"{path}/kind={k}"}} for k in ("click", "view", "error", "signup")]
+    parts = [{"enabled": k != "signup", "config": {"path": f"{path}/kind={k}"}} for k in ("click", "view", "error", "signup", "purchase")]
     return registry.load_partitioned(t.spark, {"type": "file", "format": "parquet"}, parts)
 
 
@@ -254,11 +297,12 @@ def _(t: Tables):
     return files.group_lines(numbered, "^[A-M]").select(F.col("file").cast("bigint").alias("doc_id"), "line_no", "entry")
 
 
-@query("src_22_file_tail", ALL_EVENTS + " WHERE event_type <> 'error'")
+@query("src_22_file_tail", ALL_EVENTS)
 def _(t: Tables):
     path = scratch_path(t.spark, "tail")
-    _events(t).filter("event_type <> 'error'").write.json(path)
-    return run_to_table(files.stream_files(t.spark, "json", path, EVENT, include="*.json"), "tailed")
+    _events(t).write.json(path)
+    t.events.select(F.lit(-1).cast("bigint").alias("event_id")).write.mode("append").option("compression", "gzip").json(path)
+    return run_to_table(files.stream_files(t.spark, "json", path, EVENT, include="*.json*", exclude="*.gz"), "tailed")
 
 
 FIELDS = [{"name": "event_id", "type": "int", "required": True}, {"name": "event_type", "type": "string"},

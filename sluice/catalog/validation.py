@@ -21,7 +21,7 @@ KIND = {"fields": [{"name": "kind", "type": "string", "required": True, "max_len
 register("val_01_validate_drop", lambda t: V.validate(_gaps(t), KIND).select("event_id", "kind"),
          "SELECT event_id, event_type AS kind FROM events WHERE event_type <> 'error' AND strlen(event_type) <= 6")
 register("val_01_quarantine",
-         lambda t: V.quarantine(V.validate(_gaps(t), KIND, drop_on_fail=False)).select("event_id", V.error_text().alias("errors")),
+         lambda t: V.quarantine(V.check(_gaps(t), KIND)).select("event_id", V.error_text().alias("errors")),
          "SELECT event_id, CASE event_type WHEN 'error' THEN 'kind: required field is missing' "
          "ELSE 'kind: must have at most 6 bytes' END AS errors FROM events "
          "WHERE event_type = 'error' OR strlen(event_type) > 6")

@@ -38,8 +38,13 @@ def parse_json(text: Column, schema: str | None = None) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """JSON text as a VARIANT when it is an object, else NULL."""
-    return F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
+    """JSON text as a VARIANT when it is one object and nothing else, else NULL.
+
+    The text is read as the only item of an array, because the parser stops at the end of the first value it
+    meets.  Of repeated keys the last counts where ``spark.sql.variant.allowDuplicateKeys`` is on.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(text.rlike(r"^\s*\{") & (F.size(items) == 1), F.get(items, 0))
 
 
 def rfc3339(ts: Column) -> Column:

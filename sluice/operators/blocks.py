@@ -64,7 +64,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, spl
     """Exact 1-based position of each row within its key (within the table without keys)."""
     rows, largest = key_sizes(df, keys)
     if split is False or (split is None and largest <= rows_per_block(df.sparkSession)):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     blocked = ordered_blocks(df, keys, order, rows)
     local = F.row_number().over(Window.partitionBy(BLOCK, *keys).orderBy(*order))
     placed = with_carry(blocked, keys, F.count(F.lit(1)), F.sum, "_before")

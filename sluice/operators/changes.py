@@ -151,8 +151,21 @@ def convert_upserts(df: DataFrame, entity: list[str], order: list[str], type_fie
     """Rewrite an UPDATE for an entity that does not exist at that moment to CREATE.
 
     CREATE and UPDATE bring an entity into being, DELETE ends it, other types leave it as it
-    is.  ``existing`` lists entities that exist before the first event.
+    is.  ``existing`` lists entities that exist before the first event.  Rows that lack a part of their entity (NULL or
+    empty) are left alone.
     """
+    whole = has_entity(df, entity)
+    return _convert_named(df.filter(whole), entity, order, type_field, existing, split).unionByName(df.filter(~whole))
+
+
+def has_entity(df: DataFrame, entity: list[str]) -> Column:
+    """True where every part of the entity is there."""
+    parts = [F.col(e).isNotNull() & (F.col(e).cast("string") != "") for e in entity]
+    return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in parts])
+
+
+def _convert_named(df: DataFrame, entity: list[str], order: list[str], type_field: str, existing: DataFrame | None,
+                   split: bool | None) -> DataFrame:
     kind = F.col(type_field)
     state = F.when(kind.isin(CREATE, UPDATE, DELETE), kind)
     seen = previous_value(df, entity, [F.col(o) for o in order], state, "_previous", split)
@@ -301,7 +314,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def throttle_fixed(df: DataFrame, keys: list[str], ts: str, tie: str, rate: int, interval: str,
                    burst: int = 0) -> DataFrame:
-    """At most ``rate + burst`` rows per key and calendar second, minute or hour."""
-    slot = df.withColumn("_slot", F.date_trunc(interval, F.col(ts)))
+    """At most ``rate + burst`` rows per key and calendar second, minute or hour.
+
+    Rows without a time cannot be judged and pass.
+    """
+    slot = df.filter(F.col(ts).isNotNull()).withColumn("_slot", F.date_trunc(interval, F.col(ts)))
     kept = first_rows(slot, [*keys, "_slot"], [F.asc(ts), F.asc(tie)], rate + burst)
-    return kept.drop("_slot")
+    return kept.drop("_slot").unionByName(df.filter(F.col(ts).isNull()))

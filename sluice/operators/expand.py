@@ -22,11 +22,16 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], name: str | None =
     return out.withColumn("enriched_from", F.lit(name)) if name else out
 
 
+# Items of an array of repeats.
+REPEATS = 10_000
+
+
 def expand_for_each(parent: DataFrame, child: DataFrame, bindings: dict[str, str]) -> DataFrame:
     """Child rows for every parent row, with ``{parent field: child field}`` bound by equality.
 
     Parent rows with the same bound values repeat the child rows.  They are counted before the
-    join, so the join itself is many-to-one however often a value repeats.
+    join, so the join itself is many-to-one however often a value repeats.  Repeats are spelled out in two steps, so that no
+    row holds an array of more than about ``REPEATS`` items for any count that fits.
     """
     names = {p: f"_p{i}" for i, p in enumerate(bindings)}
     driving = (
@@ -34,8 +39,10 @@ def expand_for_each(parent: DataFrame, child: DataFrame, bindings: dict[str, str
         .agg(F.count(F.lit(1)).alias("_times"))
     )
     on = reduce(lambda a, b: a & b, [F.col(names[p]) == F.col(c) for p, c in bindings.items()])
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy")
-    return child.join(driving, on).select(*child.columns, copies).drop("_copy")
+    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_times - 1) div {REPEATS}"))).alias("_chunk")
+    inside = F.least(F.lit(REPEATS).cast("bigint"), F.col("_times") - F.col("_chunk") * REPEATS)
+    return (child.join(driving, on).select(*child.columns, "_times", chunks)
+            .select(*child.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), inside)).alias("_copy")).drop("_copy"))
 
 
 def expand(parent: DataFrame, child: DataFrame, bindings: dict[str, str], mode: str = "for_each_record",
@@ -49,12 +56,11 @@ def expand(parent: DataFrame, child: DataFrame, bindings: dict[str, str], mode:
     return expand_for_each(parent, child, bindings)
 
 
-# Fixed value: longest parent chain that is followed.
-MAX_DEPTH = 10
-
+def hierarchy_depth(types: DataFrame, key: str, parent: str, max_depth: int | None = None) -> DataFrame:
+    """``depth`` of each row: itself plus its ancestors, at most ``max_depth`` where that is given.
 
-def hierarchy_depth(types: DataFrame, key: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``depth`` of each row: itself plus its ancestors, at most ``max_depth``.
+    Without it, rows that are on a circle of parents or below one have no depth: NULL.  They are what is left when a round
+    reaches no root any more, since above every row that climbs on in vain there would be nearer ones that arrive.
 
     Every row knows an ancestor and the steps to it; a round lets it jump on by what that
     ancestor knows, so the reach doubles and the rounds grow with the logarithm of the depth.
@@ -78,11 +84,14 @@ def hierarchy_depth(types: DataFrame, key: str, parent: str, max_depth: int = MA
         reached = done if reached is None else reached.unionByName(done)
         climbing = moved.filter(F.col("_up").isNotNull())
         reach *= 2
-        if reach >= max_depth:
+        if max_depth is not None and reach >= max_depth or done.isEmpty() or climbing.isEmpty():
             break
-    steps = reached.unionByName(climbing).select(F.col("_k").alias(key), "_steps")
-    depth = F.least(F.coalesce("_steps", F.lit(0)) + 1, F.lit(max_depth)).alias("depth")
-    return types.join(steps, key, "left").select(*types.columns, depth)
+    circling = F.lit(None).cast("int") if max_depth is None else F.col("_steps")
+    steps = reached.select("_k", "_steps", F.lit(True).alias("_ends")).unionByName(climbing.select("_k", circling.alias("_steps"), F.lit(max_depth is not None).alias("_ends")))
+    depth = F.when(F.coalesce("_ends", F.lit(True)), F.coalesce("_steps", F.lit(0)) + 1)
+    if max_depth is not None:
+        depth = F.least(depth, F.lit(max_depth))
+    return types.join(steps.withColumnRenamed("_k", key), key, "left").select(*types.columns, depth.alias("depth"))
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

@@ -27,7 +27,7 @@ def exclude(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.drop(*fields)
 
 
-_LINE = re.compile(r"\s*([\w]+)\s*=\s*(?:\.(\w+)|'([^']*)'|\"([^\"]*)\")\s*")
+_LINE = re.compile(r"\s*([^\s=#][^\s=]*)\s*=\s*(?:\.([^\s'\"]+)|'([^']*)'|\"([^\"]*)\")\s*")
 
 
 def transform(df: DataFrame, lines: str | list[str]) -> DataFrame:

@@ -98,14 +98,19 @@ def execution_totals(results: DataFrame, key: str = "execution_id") -> DataFrame
 
 def provider_hourly(rows: DataFrame, provider: str, ts: str, group: str, records: str, failed: str,
                     active: Column) -> DataFrame:
-    """Records, failed records, groups and active groups per provider and hour."""
-    return (
+    """Records, failed records, groups and active groups per provider and hour.
+
+    Grouped by group first, so that both counts of groups are plain sums and no row is multiplied for a distinct count.
+    """
+    per_group = (
         rows.withColumn("bucket_hour", F.date_trunc("hour", ts))
-        .groupBy(provider, "bucket_hour")
-        .agg(F.sum(records).alias("total_records"), F.sum(failed).alias("failed_records"),
-             F.countDistinct(group).alias("total_groups"),
-             F.countDistinct(F.when(active, F.col(group))).alias("active_groups"))
+        .groupBy(provider, "bucket_hour", group)
+        .agg(F.sum(records).alias("_records"), F.sum(failed).alias("_failed"), F.max(F.coalesce(active, F.lit(False))).alias("_active"))
     )
+    named = F.col(group).isNotNull()
+    return per_group.groupBy(provider, "bucket_hour").agg(
+        F.sum("_records").alias("total_records"), F.sum("_failed").alias("failed_records"),
+        F.count_if(named).alias("total_groups"), F.count_if(named & F.col("_active")).alias("active_groups"))
 
 
 def throughput(rows: DataFrame, ts: str, failed: Column, keys: list[str] = (), per: str = "minute",
@@ -129,7 +134,6 @@ def node_metrics(latest: DataFrame, key: str = "pipeline_id") -> DataFrame:
     return latest.select(key, F.explode(F.concat(ends, stages)).alias("_e")).select(key, "_e.node", "_e.n")
 
 
-def average_latency(progress: list[dict]) -> float | None:
-    """Mean batch duration in ms from the progress reports of a streaming query."""
-    spans = [p["durationMs"]["triggerExecution"] for p in progress if p.get("durationMs")]
+def average_latency(spans: list[int]) -> float | None:
+    """Mean batch duration in ms; ``streaming.run.Progress`` collects the durations of all batches."""
     return sum(spans) / len(spans) if spans else None

@@ -46,12 +46,12 @@ def admitted(df: DataFrame, keys: list[str], ts: str, tie: str, rate: int, inter
     """
     admit, span, capacity = STRATEGIES[strategy], INTERVALS[interval], rate + burst
     state_type = T.ArrayType(T.LongType())
-    moments = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(tie).alias("_tie"),
+    moments = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.when(F.lit(True), F.col(tie)).alias("_tie"),
                         F.lit(None).cast(state_type).alias("_held")).filter(F.col("_us").isNotNull())
     if held is not None:
         moments = moments.unionByName(held.select(*keys, "_held"), allowMissingColumns=True)
     ordered = moments.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("_us"), "_tie")
-    out_schema = T.StructType([*[moments.schema[k] for k in keys], moments.schema["_tie"], T.StructField("_held", state_type)])
+    out_schema = T.StructType([*[moments.schema[k] for k in keys], T.StructField("_tie", moments.schema["_tie"].dataType, True), T.StructField("_held", state_type)])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, schema = None, [], None
@@ -81,12 +81,21 @@ def admitted(df: DataFrame, keys: list[str], ts: str, tie: str, rate: int, inter
     return ordered.mapInArrow(walk, out_schema)
 
 
+def only_admitted(df: DataFrame, rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Rows of ``df`` that are among the admitted (keys, _tie)."""
+    named = rows.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_tie")
+    match = F.col(tie).eqNullSafe(F.col("_tie"))
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.join(named, match, "left_semi")
+
+
 def throttle(df: DataFrame, keys: list[str], ts: str, tie: str, rate: int, interval: str = "second", burst: int = 0,
              strategy: str = "token_bucket") -> DataFrame:
-    """At most ``rate + burst`` rows per key and interval; ``tie`` is unique over the table.
+    """At most ``rate + burst`` rows per key and interval; ``tie`` is unique within a key.
 
     Rows without a time cannot be judged and pass.
     """
     rows = admitted(df, keys, ts, tie, rate, interval, burst, strategy).filter(F.col("_held").isNull())
-    passed = df.join(rows.select("_tie"), F.col(tie) == F.col("_tie"), "left_semi")
+    passed = only_admitted(df, rows, keys, tie)
     return passed.unionByName(df.filter(F.col(ts).isNull())) if df.schema[ts].nullable else passed

@@ -250,11 +250,15 @@ def quarantine(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size(ERRORS) > 0)
 
 
-def validate(df: DataFrame, schema: dict, drop_on_fail: bool = True, variant: str | None = None) -> DataFrame:
-    """Validation stage: valid rows go on.  Rejected rows are dropped, or marked with ``_errors``
-    for the caller to quarantine, so a bad record never fails the job."""
+def validate(df: DataFrame, schema: dict, drop_on_fail: bool = False, variant: str | None = None, rejects=None) -> DataFrame:
+    """Validation stage: only valid rows go on, so a bad record never fails the job nor reaches a sink.
+
+    Rejected rows, marked with ``_errors``, are handed to ``rejects`` unless ``drop_on_fail`` says to drop them unseen.
+    """
     checked = check(df, schema, variant)
-    return valid(checked) if drop_on_fail else checked
+    if rejects is not None and not drop_on_fail:
+        rejects(quarantine(checked))
+    return valid(checked)
 
 
 def valid_counts(checked: DataFrame) -> DataFrame:

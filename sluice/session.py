@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,7 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .appName("sluice")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,13 +31,17 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or a fresh local one when it names none."""
+    """The shared folder named by the cluster; where it names none, a fresh local one, which only a session
+    without executors of its own can use."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if path:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(path)
         return path
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
     return spark.sparkContext.getCheckpointDir()
 

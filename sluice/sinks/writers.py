@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -103,9 +104,16 @@ def fan_out(df: DataFrame, sinks: list[tuple], keep: bool = False) -> int:
 
 
 def fan_out_stream(stream: DataFrame, sinks: list[tuple], checkpoint: str):
-    """Every micro-batch to every sink."""
-    def send(batch: DataFrame, _: int) -> None:
-        fan_out(batch, sinks, keep=True)
+    """Every micro-batch to every sink.
+
+    A sink that takes two arguments also gets the batch id, by which it can replace what a failed attempt has
+    written; one that takes only the rows may see a retried batch twice.
+    """
+    def bound(sink, batch_id: int):
+        return (lambda df: sink(df, batch_id)) if len(inspect.signature(sink).parameters) > 1 else sink
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        fan_out(batch, [(condition, bound(sink, batch_id)) for condition, sink in sinks], keep=True)
 
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
 

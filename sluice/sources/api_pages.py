@@ -24,20 +24,16 @@ def unnest(pages: DataFrame, data_field: str | None = None, paginated: bool = Fa
     found = items if paginated else F.coalesce(items, F.array("_body"))
     return (
         parsed.select(*keep, F.explode(found).alias("rec"))
-        .filter(F.schema_of_variant("rec").startswith("OBJECT"))
+        .filter(F.try_variant_get("rec", "$", "map<string,variant>").isNotNull())
     )
 
 
-# Fixed value: pages followed from one start unless told otherwise.
-MAX_PAGES = 100
-
-
-def follow_next(pages: DataFrame, starts: DataFrame, next_field: str = "next", max_pages: int = MAX_PAGES) -> DataFrame:
+def follow_next(pages: DataFrame, starts: DataFrame, next_field: str = "next", max_pages: int | None = None) -> DataFrame:
     """Pages reached from each start url: ``start``, ``url``, ``page_no`` (1-based).
 
-    A chain ends where ``next_field`` is missing or empty, where its page was not landed, or at
-    ``max_pages``.  The known stretch of all chains doubles with each round, so the number of
-    joins grows with the logarithm of the cap.
+    A chain ends where ``next_field`` is missing or empty, where its page was not landed, at a page it has
+    met before, or at ``max_pages`` where that is given (then a circle is followed round and round).  The known stretch of all
+    chains doubles with each round, so the number of joins grows with the logarithm of the longest chain.
     """
     following = F.try_variant_get(F.try_parse_json("body"), f"$['{next_field}']", "string")
     link = pages.select("url", F.when(following != "", following).alias("to"))
@@ -45,12 +41,19 @@ def follow_next(pages: DataFrame, starts: DataFrame, next_field: str = "next", m
     hop = link.join(landed, "to", "left_semi").select("url", "to")
     known = starts.join(pages.select("url"), "url", "left_semi").select(
         F.col("url").alias("start"), "url", F.lit(1).alias("page_no"))
-    reach = 1
-    while reach < max_pages:
+    reach, size = 1, known.count() if max_pages is None else 0
+    while max_pages is None or reach < max_pages:
         ahead = known.join(hop, "url").select("start", F.col("to").alias("url"),
                                               (F.col("page_no") + reach).alias("page_no"))
-        known = stored(known.unionByName(ahead).filter(F.col("page_no") <= max_pages))
-        if 2 * reach < max_pages:
+        both = known.unionByName(ahead)
+        if max_pages is None:
+            known = stored(both.groupBy("start", "url").agg(F.min("page_no").alias("page_no")))
+            before, size = size, known.count()
+            if size == before:
+                break
+        else:
+            known = stored(both.filter(F.col("page_no") <= max_pages))
+        if max_pages is None or 2 * reach < max_pages:
             second = hop.select(F.col("url").alias("to"), F.col("to").alias("far"))
             hop = stored(hop.join(second, "to").select("url", F.col("far").alias("to")))
         reach *= 2

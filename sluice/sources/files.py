@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sluice.functions.scalars import json_object
 from sluice.operators.blocks import running_total
+from sluice.sources.messages import record_fields
 
 
 def _paths(paths: str | list[str]) -> list[str]:
@@ -18,17 +23,41 @@ def read_json_array(spark: SparkSession, paths, schema: str | T.StructType | Non
 
 
 def read_ndjson(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
-    """One JSON object per line; lines that do not parse are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(_paths(paths))
+    """One JSON object per line; lines that are not one are skipped, whatever columns are read.
+
+    A field that does not have its type is NULL and costs the record nothing.
+    """
+    return record_fields(read_json_records(spark, paths), schema)
 
 
 def read_json_records(spark: SparkSession, paths) -> DataFrame:
-    """One JSON object per line as a schemaless VARIANT ``rec``; bad lines are skipped."""
-    rec = F.try_parse_json("value")
-    return (
-        spark.read.text(_paths(paths)).select(rec.alias("rec"))
-        .filter(F.schema_of_variant("rec").startswith("OBJECT"))
-    )
+    """One JSON object per line as a schemaless VARIANT ``rec``; other lines are skipped."""
+    return spark.read.text(_paths(paths)).select(json_object(F.col("value")).alias("rec")).filter(F.col("rec").isNotNull())
+
+
+def read_json(spark: SparkSession, paths, schema: str | T.StructType | None = None) -> DataFrame:
+    """Files that each hold one JSON array, or one object per line: a file's first character that is not blank decides.
+
+    Objects come as VARIANT ``rec``, or as the columns of ``schema``.  An array that does not parse fails the read.  An array
+    cannot be split, so such a file is one task's work; files of lines are split as usual.
+    """
+    lines = spark.read.text(_paths(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.substring(F.regexp_replace("value", r"^[\s\uFEFF]+", ""), 1, 1).alias("first")).filter("first <> ''")
+    # A row per file, as many as the driver lists anyway.
+    kinds = {r["file"]: r["first"] for r in lines.groupBy("file").agg(F.min_by("first", "at").alias("first")).collect()}
+    arrays = sorted(f for f, first in kinds.items() if first == "[")
+    plain = sorted(f for f, first in kinds.items() if first != "[")
+    frames = []
+    if arrays:
+        whole = spark.read.option("wholetext", True).text(arrays)
+        items = F.try_variant_get(F.parse_json("value"), "$", "array<variant>")
+        fields = F.try_variant_get("rec", "$", "map<string,variant>")
+        frames.append(whole.select(F.explode(items).alias("rec")).filter(fields.isNotNull()))
+    if plain or not arrays:
+        frames.append(read_json_records(spark, plain) if plain else spark.createDataFrame([], "line string").select(F.try_parse_json("line").alias("rec")))
+    records = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    return record_fields(records, schema) if schema else records
 
 
 def read_csv(spark: SparkSession, paths, delimiter: str = ",") -> DataFrame:
@@ -86,17 +115,22 @@ def group_lines(lines: DataFrame, start_pattern: str, split: bool | None = None)
 
 
 def stream_files(spark: SparkSession, fmt: str, path: str, schema, include: str | None = None,
-                 from_beginning: bool = True, max_files: int | None = None) -> DataFrame:
-    """New files of a folder as a stream.  ``from_beginning=False`` reads the newest files first
-    and leaves out files older than the stream's first look back."""
+                 from_beginning: bool = True, max_files: int | None = None, exclude: str | None = None) -> DataFrame:
+    """New files of a folder as a stream.  ``from_beginning=False`` leaves out the files that are there before the stream is
+    defined; ``exclude`` is a pattern (``*`` and ``?``) of file names to leave out."""
     r = spark.readStream.format(fmt).schema(schema)
     if include:
         r = r.option("pathGlobFilter", include)
     if not from_beginning:
-        r = r.option("latestFirst", True)
+        r = r.option("modifiedAfter", datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.load(path)
+    rows = r.load(path)
+    if exclude:
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        pattern = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in exclude)
+        rows = rows.filter(~name.rlike(f"^{pattern}$"))
+    return rows
 
 
 def with_metadata(df: DataFrame, source: str, origin=None, offset=None, ts=None) -> DataFrame:

@@ -56,7 +56,9 @@ def decode_kafka(rows: DataFrame) -> DataFrame:
     key, body = F.col("key").cast("string"), F.col("value").cast("string")
     wrapped = F.to_variant_object(F.struct(key.alias("key"), body.alias("value")))
     pairs = F.transform("headers", lambda h: F.struct(h["key"], h["value"].cast("string")))
-    last_wins = F.map_from_entries(F.filter(pairs, lambda p: p["key"].isNotNull()))
+    # Of a repeated key the last header counts.
+    last = F.filter(pairs, lambda p, i: p["key"].isNotNull() & ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    last_wins = F.map_from_entries(last)
     return rows.select(
         F.coalesce(json_object(body), wrapped).alias("rec"),
         F.when(F.size("headers") > 0, last_wins).alias("_headers"),
@@ -69,10 +71,10 @@ def decode_kafka(rows: DataFrame) -> DataFrame:
     )
 
 
-def record_fields(df: DataFrame, schema: str, variant: str = "rec") -> DataFrame:
+def record_fields(df: DataFrame, schema: str | T.StructType, variant: str = "rec") -> DataFrame:
     """Named fields of a VARIANT record as columns in place of it."""
     fields = [F.try_variant_get(variant, f"$['{f.name}']", f.dataType.simpleString()).alias(f.name)
-              for f in T.StructType.fromDDL(schema).fields]
+              for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields]
     return df.select(*fields, *[c for c in df.columns if c != variant])
 
 

@@ -50,13 +50,13 @@ def _file(spark: SparkSession, cfg: dict) -> DataFrame:
         return files.read_parquet(spark, path)
     if fmt == "json_array":
         return files.read_json_array(spark, path, cfg.get("schema"))
-    return files.read_ndjson(spark, path, cfg["schema"]) if "schema" in cfg else files.read_json_records(spark, path)
+    return files.read_json(spark, path, cfg.get("schema"))
 
 
 register_source("file", _file)
 register_source("sql", lambda s, cfg: tables.read_sql(s, **cfg))
-register_source("sql_event", lambda s, cfg: tables.poll(load(s, cfg["table"]), cfg.get("last", 0),
-                                                       **cfg.get("options", {})))
+register_source("sql_event", lambda s, cfg: tables.new_events(
+    load(s, cfg["table"]), cfg.get("last", 0), **{k: v for k, v in cfg.get("options", {}).items() if k not in ("batch_size", "order_by")}))
 register_source("kafka", lambda s, cfg: messages.decode_kafka(messages.read_kafka(s, **cfg)))
 register_source("demo", lambda s, cfg: demo.generate(s, int(cfg.get("count", 10)), cfg.get("source", "demo")))
 register_source("generate", lambda s, cfg: demo.sample_logs(s.range(int(cfg.get("count", 10)))))

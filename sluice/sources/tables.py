@@ -23,8 +23,31 @@ def split_read_options(column: str, low, high, partitions: int) -> dict[str, str
             "numPartitions": str(partitions)}
 
 
-def read_sql(spark: SparkSession, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(**options)).load()
+def sql_options(split: dict | None = None, **options) -> dict[str, str]:
+    """Reader options of a SQL source; ``split`` (column, low, high, partitions) lets many tasks read the query."""
+    out = jdbc_options(**options)
+    if split:
+        out |= {"dbtable": f"({out.pop('query')}) q"} | split_read_options(**split)
+    return out
+
+
+def bind(query: str, parameters: dict) -> str:
+    """``query`` with ``:name`` replaced by literals: numbers as they are, text quoted, None as NULL."""
+    import re
+
+    def literal(hit) -> str:
+        value = parameters[hit[1]]
+        if value is None:
+            return "NULL"
+        if isinstance(value, bool):
+            return str(value).upper()
+        return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+    return re.sub(r"(?<![:\w]):([A-Za-z_]\w*)", literal, query)
+
+
+def read_sql(spark: SparkSession, query: str, parameters: dict | None = None, **options) -> DataFrame:
+    return spark.read.format("jdbc").options(**sql_options(query=bind(query, parameters or {}), **options)).load()
 
 
 def decode_bytes(df: DataFrame) -> DataFrame:
@@ -65,11 +88,19 @@ class MarkStore:
 
 def poll(table: DataFrame, last, id_column: str = "id", columns: list[str] | None = None, condition=None,
          order_by: str | None = None, batch_size: int = 1000) -> DataFrame:
-    """One poll of an event table: the next ``batch_size`` rows after ``last``."""
+    """One poll of an event table: the next ``batch_size`` rows after ``last`` by id, in the order of ``order_by``.
+
+    Pages are cut by id whatever the order within them, so that the next poll begins where this one ended.  The id
+    column is always part of the result.
+    """
+    page = new_events(table, last, id_column, columns, condition).orderBy(id_column).limit(batch_size)
+    return page.orderBy(order_by, id_column) if order_by and order_by != id_column else page
+
+
+def new_events(table: DataFrame, last=0, id_column: str = "id", columns: list[str] | None = None, condition=None) -> DataFrame:
+    """All rows of an event table after ``last``: what polling until nothing is left returns."""
     rows = where(table.filter(F.col(id_column) > F.lit(last)), condition)
-    if columns:
-        rows = rows.select(*columns)
-    return rows.orderBy(order_by or id_column).limit(batch_size)
+    return rows.select(*dict.fromkeys([*columns, id_column])) if columns else rows
 
 
 def poll_all(table: DataFrame, handle: Callable[[DataFrame], None], marks: MarkStore, key: str, start=0,

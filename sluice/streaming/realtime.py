@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.operators.blocks import first_rows, previous_value, same_group
-from sluice.operators.changes import CREATE, DELETE, UPDATE
+from sluice.operators.changes import CREATE, DELETE, UPDATE, has_entity
 from sluice.functions.values import TypedRecord
 from sluice.operators.predicates import to_column
-from sluice.operators.throttling import INTERVALS, STRATEGIES, admitted
+from sluice.operators.throttling import INTERVALS, STRATEGIES, admitted, only_admitted
 from sluice.streaming.dedup import WrittenEvents
 
 def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -69,7 +69,8 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
     """Duplicate check, upsert rewrite and filter in the order of the realtime chain.
 
     State moves only for rows that are written.  Without ``condition`` and ``id_field`` this is
-    the stateful upsert conversion.  With ``id_field``, copies of an event must carry the same
+    the stateful upsert conversion.  Rows that lack a part of their entity are not rewritten and keep no
+    entity state.  With ``id_field``, copies of an event must carry the same
     entity, and an entity's state holds its ids of the last ``ttl_seconds``.
     """
     as_is, as_create = _filter_forms(stream, condition, type_field)
@@ -83,17 +84,18 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
         now = int(time.time() * 1000)
         alive, ids, marked = state.get if state.exists else (False, [], [])
         seen = {i: m for i, m in zip(ids, marked) if m > now - ttl_seconds * 1000}
+        named = all(part is not None and part == part and part != "" for part in key)
         names = pdf[id_field].tolist() if id_field else [None] * len(pdf)
         keep, kinds = [], []
         for i, (name, kind, is_ok, create_ok) in enumerate(zip(names, pdf[type_field], pdf["_as_is"], pdf["_as_create"])):
             name = None if name is None or pd.isna(name) or name == "" else str(name)
             if name in seen:
                 continue
-            created = kind == UPDATE and not alive
+            created = named and kind == UPDATE and not alive
             if not (create_ok if created else is_ok):
                 continue
             kind = CREATE if created else kind
-            if kind in (CREATE, UPDATE, DELETE):
+            if named and kind in (CREATE, UPDATE, DELETE):
                 alive = kind != DELETE
             if name is not None:
                 seen[name] = now
@@ -147,7 +149,7 @@ class TableChain:
         known = self.alive(batch_id).withColumn("_known", F.lit(True)).alias("k")
         seen = (seen.alias("s").join(known, same_group("s", "k", self.entity), "left").select("s.*", "k._known"))
         alive = F.coalesce("_alive", "_known", F.lit(False))
-        created = (kind == UPDATE) & ~alive
+        created = (kind == UPDATE) & ~alive & has_entity(seen, self.entity)
         return (
             seen.filter(F.when(created, F.col("_as_create")).otherwise(F.col("_as_is")))
             .withColumn(self.type_field, F.when(created, F.lit(CREATE)).otherwise(kind))
@@ -160,7 +162,7 @@ class TableChain:
             self.ids.mark(written, batch_id)
         position = F.struct(*[F.col(o) for o in self.order])
         kind = F.col(self.type_field)
-        (written.filter(kind.isin(CREATE, UPDATE, DELETE)).groupBy(*self.entity)
+        (written.filter(kind.isin(CREATE, UPDATE, DELETE) & has_entity(written, self.entity)).groupBy(*self.entity)
          .agg((F.max_by(kind, position) != DELETE).alias("alive"))
          .write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}"))
 
@@ -193,7 +195,7 @@ def throttle(stream: DataFrame, keys: list[str], ts: str, tie: str, rate: int, i
              burst: int = 0, strategy: str = "token_bucket") -> DataFrame:
     """Admit at most ``rate + burst`` rows per key and interval, by a fixed window, a sliding window
     or a token bucket refilled at ``rate``.  Rows over the limit are dropped; to slow down instead,
-    limit the source.  Rows without a time are dropped.  ``ThrottleTable`` is the form for keys too large for one task's memory."""
+    limit the source.  Rows without a time cannot be judged and pass.  ``ThrottleTable`` is the form for keys too large for one task's memory."""
     timed, unpack = _exact(stream.filter(F.col(ts).isNotNull()), [tie])
     timed = timed.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     admit, span, columns = STRATEGIES[strategy], INTERVALS[interval], stream.columns
@@ -211,8 +213,9 @@ def throttle(stream: DataFrame, keys: list[str], ts: str, tie: str, rate: int, i
         if keep:
             yield pdf.iloc[keep][columns]
 
-    return unpack(timed.groupBy(*keys).applyInPandasWithState(
+    out = unpack(timed.groupBy(*keys).applyInPandasWithState(
         limit, schema, "held array<bigint>", "append", GroupStateTimeout.NoTimeout))
+    return out.unionByName(stream.filter(F.col(ts).isNull())) if stream.schema[ts].nullable else out
 
 
 class ThrottleTable:
@@ -240,8 +243,8 @@ class ThrottleTable:
             out = admitted(batch, self.keys, self.ts, self.tie, *self.limits, held=self.held(schema, batch_id))
             target = f"{self.path}/batch={batch_id}"
             out.write.mode("overwrite").parquet(target)
-            passed = self.spark.read.schema(schema).parquet(target).filter(F.col("_held").isNull()).select("_tie")
-            write(batch.join(passed, F.col(self.tie) == F.col("_tie"), "left_semi"), batch_id)
+            passed = self.spark.read.schema(schema).parquet(target).filter(F.col("_held").isNull())
+            write(only_admitted(batch, passed, self.keys, self.tie).unionByName(batch.filter(F.col(self.ts).isNull())), batch_id)
 
         return handle
 

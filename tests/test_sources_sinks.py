@@ -68,6 +68,8 @@ def test_poll_until_empty_and_restart(spark):
     assert list(tables.poll_all(table, save, marks, "t", batch_size=10)) == [20, 25]
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(1, 26))
     assert tables.poll(table, 3, condition=".kind == 'even'", columns=["id"], batch_size=2).collect()[1]["id"] == 6
+    pages = [r["id"] for p in (3, 5, 7) for r in tables.poll(table, p, order_by="kind", batch_size=2).collect()]
+    assert sorted(pages) == sorted(r["id"] for r in table.filter("id > 3 AND id <= 9").collect())
 
 
 def test_high_water_mark(spark):
@@ -139,9 +141,12 @@ def test_expansion_counts_repeats(spark):
 def test_hierarchy_with_missing_parent_and_cycle(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("e", "f"), ("f", "e")], "id string, up string")
     got = {r["id"]: r["depth"] for r in X.hierarchy_depth(df, "id", "up").collect()}
-    assert got == {"a": 1, "b": 2, "c": 3, "d": 1, "e": 10, "f": 10}
+    assert got == {"a": 1, "b": 2, "c": 3, "d": 1, "e": None, "f": None}
+    capped = {r["id"]: r["depth"] for r in X.hierarchy_depth(df, "id", "up", 10).collect()}
+    assert capped["e"] == capped["f"] == 10
     long = spark.range(30).select(F.col("id"), F.nullif(F.col("id"), F.lit(0)).alias("x")).select("id", (F.col("x") - 1).alias("up"))
-    assert {r["id"]: r["depth"] for r in X.hierarchy_depth(long, "id", "up").collect()} == {i: min(i + 1, 10) for i in range(30)}
+    assert {r["id"]: r["depth"] for r in X.hierarchy_depth(long, "id", "up", 10).collect()} == {i: min(i + 1, 10) for i in range(30)}
+    assert {r["id"]: r["depth"] for r in X.hierarchy_depth(long, "id", "up").collect()} == {i: i + 1 for i in range(30)}
 
 
 def test_soft_delete_now_and_kept_body(spark):
@@ -152,5 +157,5 @@ def test_soft_delete_now_and_kept_body(spark):
 
 
 def test_average_latency():
-    assert statistics.average_latency([{"durationMs": {"triggerExecution": 10}}, {"durationMs": {"triggerExecution": 30}}]) == 20
+    assert statistics.average_latency([10, 30]) == 20
     assert statistics.average_latency([]) is None

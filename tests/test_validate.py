@@ -73,6 +73,9 @@ def test_typed_matches_schemaless(spark):
 
 def test_split(spark):
     df = spark.createDataFrame([(5.0,), (500.0,)], "score double")
-    checked = V.validate(df, SCORE, drop_on_fail=False)
+    checked = V.check(df, SCORE)
+    rejected = []
+    assert V.validate(df, SCORE, rejects=rejected.append).count() == V.valid(checked).count() == V.validate(df, SCORE, True).count()
+    assert rejected[0].count() == V.quarantine(checked).count()
     assert V.valid(checked).count() == 1 and V.quarantine(checked).count() == 1
     assert V.valid_counts(checked).first().asDict() == {"valid": 1, "invalid": 1}

@@ -151,7 +151,7 @@ def test_packing_nothing_and_many_ties(spark, odd_docs):
     used = defaultdict(int)
     for r in got:
         used[r.sequence_id] += r.length
-    assert len(got) == 3000 and max(used.values()) <= 4096 and len(used) <= 1.02 * sum(used.values()) / 4096 + 1
+    assert len(got) == 3000 and max(used.values()) <= 4096 and len(used) <= 603  # five units of 700 fit into one
 
 
 def test_sequences_hold_the_ids(small_docs):

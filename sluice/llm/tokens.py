@@ -14,8 +14,8 @@ import unicodedata
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 
-# Words a worker remembers (entries stay once the memory is full) and the longest of them.
-REMEMBERED = 800_000
+# Words a worker remembers, half as many letter runs (entries stay once the memory is full), and the longest of them.
+REMEMBERED = 400_000
 LONGEST = 48
 
 # Byte-level vocabularies write each byte as a printable character: itself where it is one, else the next from 256 on.
@@ -55,7 +55,7 @@ class Words(dict):
         found = self.parts.get(word)
         if found is None:
             found = self.encode(word)
-            if len(self.parts) < REMEMBERED and len(word) <= LONGEST:
+            if len(self.parts) < REMEMBERED // 2 and len(word) <= LONGEST:
                 self.parts[word] = found
         return found
 

@@ -119,7 +119,7 @@ def _(t: Tables):
     wrong = t.events.select(F.explode(F.array(F.lit('"x"'), F.lit('{"event_id": 1} x'), F.lit("{broken"), F.lit("7"))).alias("value"))
     lines.unionByName(wrong).write.text(f"{path}/lines")
     arrays = t.events.filter(~odd).groupBy((F.col("event_id") % 5).alias("part")).agg(F.concat_ws(",\n", F.collect_list(record)).alias("items"))
-    arrays.repartition(5, "part").select(F.concat(F.lit("\n[ "), "items", F.lit("]")).alias("value")).write.text(f"{path}/arrays")
+    arrays.select("part", F.concat(F.lit("\n[ "), "items", F.lit("]")).alias("value")).repartition(5, "part").select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
     out = registry.load(t.spark, {"type": "file", "format": "json", "path": [f"{path}/lines", f"{path}/arrays"],
                                   "schema": "event_id bigint, event_type string, label string"})
     return out

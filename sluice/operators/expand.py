@@ -84,7 +84,7 @@ def hierarchy_depth(types: DataFrame, key: str, parent: str, max_depth: int | No
         reached = done if reached is None else reached.unionByName(done)
         climbing = moved.filter(F.col("_up").isNotNull())
         reach *= 2
-        if max_depth is not None and reach >= max_depth or done.isEmpty() or climbing.isEmpty():
+        if climbing.isEmpty() or (done.isEmpty() if max_depth is None else reach >= max_depth):
             break
     circling = F.lit(None).cast("int") if max_depth is None else F.col("_steps")
     steps = reached.select("_k", "_steps", F.lit(True).alias("_ends")).unionByName(climbing.select("_k", circling.alias("_steps"), F.lit(max_depth is not None).alias("_ends")))

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.operators import aggregates, changes, expand, predicates, routing, shaping, validate
+from sluice.operators import changes, expand, predicates, routing, shaping, validate
+from sluice.plans import stages
 from sluice.sinks import writers
 from sluice.sources import registry
 
@@ -35,8 +36,8 @@ def apply_stage(df: DataFrame, stage: dict) -> DataFrame:
     return _stages[kind](df, **stage.get("config", {}))
 
 
-def apply_stages(df: DataFrame, stages: list[dict]) -> DataFrame:
-    for stage in stages:
+def apply_stages(df: DataFrame, listed: list[dict]) -> DataFrame:
+    for stage in listed:
         df = apply_stage(df, stage)
     return df
 
@@ -47,16 +48,21 @@ def build(spark: SparkSession, spec: dict, source: DataFrame | None = None) -> D
     return apply_stages(df, spec.get("stages", []))
 
 
-def run_batch(spark: SparkSession, spec: dict, sinks: list[tuple], source: DataFrame | None = None) -> int:
-    """Process all current data and send it to every ``(condition, sink)``."""
-    return writers.fan_out(build(spark, spec, source), sinks)
+def run_batch(spark: SparkSession, spec: dict, sinks: list[tuple] = (), source: DataFrame | None = None) -> int:
+    """Process all current data and send it to every ``(condition, sink)``, or to the sinks of the spec."""
+    return writers.fan_out(build(spark, spec, source), sinks or spec_sinks(spec))
 
 
-def run_stream(stream: DataFrame, spec: dict, sinks: list[tuple], checkpoint: str, available_now: bool = True,
+def spec_sinks(spec: dict) -> list[tuple]:
+    """``(condition, sink)`` of every ``{"type": ..., "config": ..., "condition": ...}`` under ``sinks``."""
+    return [(s.get("condition"), stages.sink(s)) for s in spec.get("sinks", [])]
+
+
+def run_stream(stream: DataFrame, spec: dict, sinks: list[tuple] | None, checkpoint: str, available_now: bool = True,
                interval: str = "10 seconds"):
     """The same stages on a stream; ``available_now`` processes what is there and ends."""
     out = build(stream.sparkSession, spec, stream)
-    writer = writers.fan_out_stream(out, sinks, checkpoint)
+    writer = writers.fan_out_stream(out, sinks or spec_sinks(spec), checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 
@@ -76,8 +82,9 @@ def connect(frames: dict[str, DataFrame], nodes: dict[str, dict]) -> dict[str, D
     return done
 
 
-def _save(df: DataFrame, sink) -> DataFrame:
-    return writers.tap(df, sink)
+def _save(df: DataFrame, sink=None, type: str | None = None, config: dict | None = None) -> DataFrame:  # noqa: A002
+    """Save the rows at this point and go on: a function, or a sink by its type."""
+    return writers.tap(df, sink if sink is not None else stages.sink({"type": type, "config": config or {}}))
 
 
 register_stage("filter", lambda df, condition=None, variant=None: predicates.where(df, condition, variant))
@@ -94,24 +101,15 @@ register_stage("merge", lambda df, source_fields, target_field, delimiter=" ", t
                shaping.merge(df, source_fields, target_field, delimiter, template))
 register_stage("split", lambda df, source_field, pattern, target_fields, keep_original=True:
                shaping.split(df, source_field, pattern, target_fields, keep_original))
-register_stage("encrypt", shaping.encrypt)
 register_stage("default", shaping.default)
-register_stage("cast", shaping.cast)
-register_stage("timestamp", shaping.timestamp)
 register_stage("derive", shaping.derive)
 register_stage("sample", lambda df, rate, seed=0: routing.sample(df, rate, seed))
-register_stage("route", lambda df, field, routes: routing.route_by_value(df, field, routes))
-register_stage("dedupe", changes.dedupe)
-register_stage("throttle", changes.throttle_fixed)
 register_stage("upsert", changes.convert_upserts)
 register_stage("validate", validate.validate)
-register_stage("aggregate", lambda df, aggregates_, group_by=(), ts=None, size="60 seconds", slide=None:
-               aggregates.window_aggregate(df, ts, aggregates_, group_by, size, slide) if ts
-               else aggregates.aggregate(df, list(group_by), aggregates_))
 register_stage("passthrough", shaping.passthrough)
 register_stage("sink", _save)
-register_stage("delete", lambda df, preset, keys, ts=None, ignored=():
-               changes.mark_deletes(df, changes.PRESETS[preset], keys, ts, ignored))
+for _name, _stage in stages.STAGES.items():
+    register_stage(_name, _stage)
 
 
 def error_column(df: DataFrame, required: list[str]) -> DataFrame:

@@ -50,7 +50,7 @@ def read_json(spark: SparkSession, paths, schema: str | T.StructType | None = No
     plain = sorted(f for f, first in kinds.items() if first != "[")
     frames = []
     if arrays:
-        whole = spark.read.option("wholetext", True).text(arrays)
+        whole = spark.read.text(arrays, wholetext=True)
         items = F.try_variant_get(F.parse_json("value"), "$", "array<variant>")
         fields = F.try_variant_get("rec", "$", "map<string,variant>")
         frames.append(whole.select(F.explode(items).alias("rec")).filter(fields.isNotNull()))

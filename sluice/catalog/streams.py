@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.catalog.base import Tables, query, register
-from sluice.catalog.changes import COPIES, TYPED, UPSERTS, typed_events, with_copies
+from sluice.catalog.changes import BY_OP, COPIES, LATEST, TYPED, UPSERTS, change_log, typed_events, with_copies
+from sluice.operators.changes import DeletePolicy
 from sluice.operators import aggregates as A, expand as X, predicates as P, shaping as S, statistics
 from sluice.plans import dataflow
 from sluice.session import scratch_path
 from sluice.streaming import dedup, realtime as RT, run
+from sluice.streaming.changes import ChangeTable
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -207,6 +209,42 @@ def _(t: Tables):
     return run.run_to_table(dataflow.error_column(parsed, ["k"]), "marked")
 
 
+_STATES = """ SELECT 'physical' AS policy, id, seq, level, NULL AS mark FROM last WHERE __op <> 'd'
+    UNION ALL SELECT 'ignore', id, seq, level, NULL FROM body
+    UNION ALL SELECT policy, id, last.seq, body.level, CASE policy WHEN 'timestamp' THEN CASE WHEN last.__op = 'd' THEN CAST(last.seq AS VARCHAR) END
+        WHEN 'boolean' THEN CAST(last.__op = 'd' AS VARCHAR) WHEN 'status' THEN CASE WHEN last.__op = 'd' THEN 'D' ELSE 'A' END
+        ELSE CASE WHEN last.__op = 'd' THEN 'gone' ELSE 'live' END END
+        FROM last LEFT JOIN body USING (id), (VALUES ('timestamp'), ('boolean'), ('status'), ('custom')) AS p(policy)"""
+
+
+@query("cdc_11_stream_apply", LATEST + _STATES)
+def _(t: Tables):
+    """The change log in four batches, in order; every delete policy keeps its own table, with a snapshot after two batches."""
+    log, path = change_log(t), scratch_path(t.spark, "log")
+    top = log.agg(F.max("seq")).first()[0]
+    for part in range(4):  # one file each, so that a micro-batch is one part
+        inside = F.floor(F.col("seq") * 4 / (top + 1)) == part
+        log.filter(inside).coalesce(1).write.mode("append").parquet(path)
+    policies = {"physical": DeletePolicy("physical", **BY_OP), "ignore": DeletePolicy("ignore", **BY_OP),
+                "timestamp": DeletePolicy("soft", "timestamp", "mark", **BY_OP), "boolean": DeletePolicy("soft", "boolean", "mark", **BY_OP),
+                "status": DeletePolicy("soft", "status", "mark", **BY_OP), "custom": DeletePolicy("soft", "custom", "mark", "gone", "live", **BY_OP)}
+    tables = {name: ChangeTable(t.spark, scratch_path(t.spark, name), log.schema, ["id"], ["seq"], policy, "seq", ["__op"], every=2)
+              for name, policy in policies.items()}
+    last = -1
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        nonlocal last
+        last = batch_id
+        for table in tables.values():
+            table.handle(batch, batch_id)
+
+    run.run_batches(run.stream_table(t.spark, path, log.schema, max_files=1), handle, "log")
+    frames = [table.current(last).select(F.lit(name).alias("policy"), "id", "seq", "level",
+                                         (F.col("mark").cast("string") if policies[name].field_name else F.lit(None).cast("string")).alias("mark"))
+              for name, table in tables.items()]
+    return X.union_sources(frames)
+
+
 @query("agg_15_batch_latency", "SELECT true AS all_rows_seen, true AS positive")
 def _(t: Tables):
     """Mean batch duration of a stream over the events, by the listener, which sees every batch."""

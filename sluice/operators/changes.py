@@ -45,11 +45,7 @@ def dedupe_within(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: fl
     """
     untimed = df.filter(F.col(ts).isNull())
     df = df.filter(F.col(ts).isNotNull())
-    firsts = (
-        df.groupBy(*keys, ts)
-        .agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(tie)).alias("_row"))
-        .select("_row.*")
-    )
+    firsts = first_rows(df, [*keys, ts], [F.asc(tie)])
     instants = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).distinct()
     if split is None:
         split = key_sizes(df, keys)[1] > rows_per_block(df.sparkSession)
@@ -281,14 +277,12 @@ def apply_changes(log: DataFrame, keys: list[str], order: list[str], policy: Del
     if policy.mode == "physical":
         return dedupe(flagged, keys, order).filter(~F.col("_gone")).drop("_gone", *envelope)
     body = [c for c in log.columns if c not in keys and c not in order and c not in envelope]
-    position = F.struct(*[F.col(o) for o in order])
-    latest = flagged.groupBy(*keys).agg(
-        F.max(position).alias("_at"),
-        F.max_by("_gone", position).alias("_gone"),
-        F.max_by(F.struct(*[F.col(c) for c in body]), F.when(~F.col("_gone"), position)).alias("_body"),
-    )
-    current = latest.select(*keys, *[F.col(f"_at.{o}").alias(o) for o in order if o not in keys],
-                            *[F.col(f"_body.{c}").alias(c) for c in body], "_gone")
+    # Both picks are cut on the map side; the first carries no body.
+    newest, places = [F.desc(o) for o in order], [o for o in order if o not in keys]
+    latest = first_rows(flagged.select(*keys, *places, "_gone"), keys, newest).alias("l")
+    bodies = first_rows(flagged.filter(~F.col("_gone")).select(*keys, *places, *body), keys, newest).alias("b")
+    current = latest.join(bodies, same_group("l", "b", keys), "left").select(
+        *[F.col(f"l.{c}") for c in [*keys, *places]], *[F.col(f"b.{c}") for c in body], "l._gone")
     return (
         current.withColumn(policy.field_name, _soft_value(current, policy, F.col("_gone"), ts, None))
         .drop("_gone", *envelope)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from sluice.operators.blocks import previous_value, running_total
+
 # Length of a rate interval in microseconds.
 INTERVALS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000}
 
@@ -42,15 +44,19 @@ def admitted(df: DataFrame, keys: list[str], ts: str, tie: str, rate: int, inter
 
     Spark sorts (key, time, tie) within each partition and the limiter walks over it in one pass
     with the state of one key in hand, so a key of any size needs no memory.  Only these narrow
-    columns move.  ``held`` is the state to start from.  Rows without a time are left out.
+    columns move.  ``held`` is the state to start from; without it a key is cut into runs (``with_runs``) that are
+    walked apart, so that a hot key is shared by many tasks.  Rows without a time are left out.
     """
     admit, span, capacity = STRATEGIES[strategy], INTERVALS[interval], rate + burst
     state_type = T.ArrayType(T.LongType())
     moments = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.when(F.lit(True), F.col(tie)).alias("_tie"),
                         F.lit(None).cast(state_type).alias("_held")).filter(F.col("_us").isNotNull())
     if held is not None:
-        moments = moments.unionByName(held.select(*keys, "_held"), allowMissingColumns=True)
-    ordered = moments.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_first("_us"), "_tie")
+        moments = moments.unionByName(held.select(*keys, "_held"), allowMissingColumns=True).withColumn("_run", F.lit(0).cast("bigint"))
+    else:
+        moments = with_runs(moments, keys, span, rate, capacity, strategy)
+    parts = [*keys, "_run"]
+    ordered = moments.repartition(*parts).sortWithinPartitions(*parts, F.asc_nulls_first("_us"), "_tie")
     out_schema = T.StructType([*[moments.schema[k] for k in keys], T.StructField("_tie", moments.schema["_tie"].dataType, True), T.StructField("_held", state_type)])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,24 +69,43 @@ def admitted(df: DataFrame, keys: list[str], ts: str, tie: str, rate: int, inter
         for batch in batches:
             schema = pa.schema([batch.schema.field(n) for n in out_schema.names])
             got, rows = batch.to_pydict(), []
-            for key, now, tie_value, start in zip(zip(*[got[k] for k in keys]), got["_us"], got["_tie"], got["_held"]):
+            for key, now, tie_value, start in zip(zip(*[got[k] for k in parts]), got["_us"], got["_tie"], got["_held"]):
                 if key != current:
                     if current is not None:
-                        rows.append((*current, None, state))
+                        rows.append((*current[:-1], None, state))
                     current, state = key, []
                 if start is not None:
                     state = list(start)
                     continue
                 ok, state = admit(state, now, span, rate, capacity)
                 if ok:
-                    rows.append((*key, tie_value, None))
+                    rows.append((*key[:-1], tie_value, None))
             yield emit(rows)
         if current is not None:
-            yield emit([(*current, None, state)])
+            yield emit([(*current[:-1], None, state)])
 
     return ordered.mapInArrow(walk, out_schema)
 
 
+def with_runs(moments: DataFrame, keys: list[str], span: int, rate: int, capacity: int, strategy: str) -> DataFrame:
+    """Adds ``_run``: rows of a key in different runs do not influence each other.
+
+    A fixed window is a run.  Otherwise a run ends at a gap after which the limiter is as new: the interval of a sliding window, or the
+    time in which an empty bucket fills up.  Finding the gaps splits hot keys over blocks like all numbering does; a key without any such
+    gap is one run.
+    """
+    if strategy == "fixed_window":
+        return moments.withColumn("_run", F.floor(F.col("_us") / span))
+    if strategy == "token_bucket" and rate <= 0:
+        return moments.withColumn("_run", F.lit(0).cast("bigint"))  # never refilled
+    rest = span if strategy == "sliding_window" else -(-capacity * span // rate)
+    order = [F.col("_us"), F.col("_tie")]
+    seen = previous_value(moments, keys, order, F.col("_us"), "_before")
+    begins = F.coalesce((F.col("_us") - F.col("_before") >= rest).cast("int"), F.lit(1))
+    return running_total(seen.withColumn("_begins", begins), keys, order, F.col("_begins"), "_run").withColumn(
+        "_run", F.col("_run").cast("bigint")).drop("_before", "_begins")
+
+
 def only_admitted(df: DataFrame, rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """Rows of ``df`` that are among the admitted (keys, _tie)."""
     named = rows.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_tie")

@@ -159,6 +159,17 @@ def test_throttle_as_batch(spark, strategy):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+@pytest.mark.parametrize("strategy", sorted(RT.STRATEGIES))
+def test_throttle_of_a_hot_key(spark, small_blocks, strategy):
+    """One key over many blocks, with and without gaps; ties are unique per key only."""
+    rows = [(i, 1, i // 2 if i < 200 else 5000 + i * 40 + (i % 7) * 90, "A") for i in range(400)]
+    rows += [(i, 2, 3, "A") for i in range(9)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint, s bigint, event_type string").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r["k"], r["id"]) for r in throttle(df.repartition(3), ["k"], "ts", "id", 4, "minute", 1, strategy).collect())
+    want = sorted((k, i) for k in (1, 2) for i in limited([r for r in rows if r[1] == k], strategy, 4, 1, 60_000_000))
+    assert got == want
+
+
 def test_latest_over_batches(spark):
     rows = make_events()
     newest = RT.latest(feed(spark, rows)(), ["k"], ["s", "id"])

@@ -100,10 +100,10 @@ def with_runs(moments: DataFrame, keys: list[str], span: int, rate: int, capacit
         return moments.withColumn("_run", F.lit(0).cast("bigint"))  # never refilled
     rest = span if strategy == "sliding_window" else -(-capacity * span // rate)
     order = [F.col("_us"), F.col("_tie")]
-    seen = previous_value(moments, keys, order, F.col("_us"), "_before")
-    begins = F.coalesce((F.col("_us") - F.col("_before") >= rest).cast("int"), F.lit(1))
+    seen = previous_value(moments, keys, order, F.col("_us"), "_earlier")
+    begins = F.coalesce((F.col("_us") - F.col("_earlier") >= rest).cast("int"), F.lit(1))
     return running_total(seen.withColumn("_begins", begins), keys, order, F.col("_begins"), "_run").withColumn(
-        "_run", F.col("_run").cast("bigint")).drop("_before", "_begins")
+        "_run", F.col("_run").cast("bigint")).drop("_earlier", "_begins")
 
 
 def only_admitted(df: DataFrame, rows: DataFrame, keys: list[str], tie: str) -> DataFrame:

@@ -39,7 +39,7 @@ def same_repeats(docs, length):
     return got
 
 
-def test_repeats_equal_brute_force(odd_docs, small_docs, spark, monkeypatch):
+def test_repeats_equal_brute_force(odd_docs, small_docs, spark):
     assert sum(g[2] for g in same_repeats(small_docs, 20)) > 0
     same_repeats(odd_docs.filter("doc_id not in (6, 7)"), 8)
     assert substring_dedup.cut_repeats(odd_docs.limit(0)).count() == 0
@@ -50,8 +50,6 @@ def test_repeats_equal_brute_force(odd_docs, small_docs, spark, monkeypatch):
     docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     for length in (8, 20):
         assert sum(g[2] for g in same_repeats(docs, length)) > 0
-    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 50)
-    monkeypatch.setattr(substring_dedup, "WINDOW_RUNS", 20)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         same_repeats(docs, 20)
@@ -59,6 +57,26 @@ def test_repeats_equal_brute_force(odd_docs, small_docs, spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_small_windows_of_a_scan_task_give_the_same_verdicts(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, " ".join(rng.choice(["a", "b"], 40)).encode()) for i in range(40)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows)], names=["doc", "twin", "text"])
+
+    def verdicts():
+        found = [r for b in substring_dedup._seeds(10)(iter([batch])) for r in b.to_pylist()]
+        order = sorted(found, key=lambda r: (r["slot"], r["done"], r["extent"], r["doc"], r["start"]))
+        out = [pa.RecordBatch.from_pylist(order[i:i + 7], schema=substring_dedup._RUN) for i in range(0, len(order), 7)]
+        judged = [r for b in substring_dedup._judge(iter(out)) for r in b.to_pylist()]
+        return {(r["doc"], r["start"]) for r in judged if not r["ask"]}, {(r["doc"], r["start"]) for r in judged if r["ask"]}
+
+    whole = verdicts()
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(substring_dedup, "WINDOW_RUNS", 20)
+    assert verdicts() == whole and whole[0] and whole[1]
+
+
 def test_kept_texts(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     docs = spark.createDataFrame([(1, f"one {passage} two"), (2, f"three {passage} four"), (3, None)], "doc_id long, text string")

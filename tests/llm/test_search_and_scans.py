@@ -103,8 +103,7 @@ def check_scores(docs, block_bytes):
     return got
 
 
-def test_language_model(odd_docs, small_docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SLOTS", 1 << 14)
+def test_language_model(odd_docs, small_docs):
     check_scores(odd_docs, 1000)
     got = check_scores(small_docs, 100_000)
     assert got == check_scores(small_docs, 100_000)
@@ -151,7 +150,8 @@ def test_other_evidence_decides_where_the_text_does_not(spark, small_docs):
     base = small_docs.filter("lang in ('en', 'fr')").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"),
                                                             F.concat("lang", F.lit(".site")).alias("host"), F.lit("org").alias("suffix"))
     vague = spark.createDataFrame([(1001, "q7", None, "fr.site", "org"), (1002, "q7", "fr", None, None), (1003, "q7", "en", "en.site", "org"),
-                                   (1004, "zq 0x7f %% ## @@ 0x8f}{|~ 0x0 ][ ^^ ~~", None, None, None)], base.schema)
+                                   (1004, "zq 0x7f %% ## @@ 0x8f}{|~ 0x0 ][ ^^ ~~", None, None, None)],
+                                  "id long, text string, declared string, host string, suffix string")
     got = {r.id: r for r in language_id.identify(base.union(vague), small_docs.select("lang", "text")).collect()}
     assert (got[1001].language, got[1002].language, got[1003].language) == ("fr", "fr", "en")
     assert not got[1004].accepted

@@ -149,7 +149,7 @@ def test_language_id(spark, odd_docs, small_docs):
 def test_other_evidence_decides_where_the_text_does_not(spark, small_docs):
     base = small_docs.filter("lang in ('en', 'fr')").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"),
                                                             F.concat("lang", F.lit(".site")).alias("host"), F.lit("org").alias("suffix"))
-    vague = spark.createDataFrame([(1001, "q7", None, "fr.site", "org"), (1002, "q7", "fr", None, None), (1003, "q7", "en", "en.site", "org"),
+    vague = spark.createDataFrame([(1001, "on", None, "fr.site", "org"), (1002, "on", "fr", None, None), (1003, "on", "en", "en.site", "org"),
                                    (1004, "zq 0x7f %% ## @@ 0x8f}{|~ 0x0 ][ ^^ ~~", None, None, None)],
                                   "id long, text string, declared string, host string, suffix string")
     got = {r.id: r for r in language_id.identify(base.union(vague), small_docs.select("lang", "text")).collect()}

@@ -17,8 +17,9 @@ similarity bound are expected to show.
    A group sends no more links than hold its components together.
 5. Components over all links; membership is joined back.
 
-NULL and blank texts have empty sets, are linked with nothing and stay.  A NULL doc_id sorts before all others.  Rows that repeat a
-doc_id count as one document; where their texts differ, links to other classes are confirmed on the least text.
+NULL and blank texts have empty sets, are linked with nothing and stay.  A NULL doc_id sorts before all others.  A document is a doc_id with
+one text: rows with one doc_id, or with none, and different texts are documents of their own, told apart by a hash of the text.  Of a component
+the document with the smallest doc_id is kept, of several with that doc_id the one with the smallest text hash; rows that repeat it share its verdict.
 """
 
 from __future__ import annotations
@@ -89,17 +90,17 @@ def signature(values: np.ndarray) -> np.ndarray:
     return ((least * _ODD) >> np.uint64(48)).astype("<u2")
 
 
-_SIGNED = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("whole", pa.binary()), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("whole", pa.binary()), ("sig", pa.binary())])
 
 
 def _sign(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = Sender(_SIGNED)
         for batch in batches:
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = shingles(text, words)
-                row = (doc, len(values), xxhash.xxh3_128_digest(values.tobytes()), signature(values).tobytes()) if len(values) else (doc, 0, None, None)
-                if send.add(row):
+                found = (xxhash.xxh3_128_digest(values.tobytes()), signature(values).tobytes()) if len(values) else (None, None)
+                if send.add((doc, own, len(values), *found)):
                     yield send.take()
         yield send.take()
 
@@ -244,27 +245,37 @@ def _links(star: DataFrame, sizes: DataFrame, texts: DataFrame, rule: Rule) -> D
             .mapInArrow(_confirm(rule), "a long, b long"))
 
 
-def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and class_id (the smallest doc_id with an equal set) for every row of ``docs`` (doc_id, text)."""
-    keyed = docs.select(id_key().alias("doc"), text_bytes().alias("text"))
-    signed = kept(keyed.mapInArrow(_sign(rule.words), "doc long, n long, whole binary, sig binary"), "signatures")
-    classes = kept(signed.filter("n > 0").groupBy("whole").agg(F.min("doc").alias("rep"), F.min("sig").alias("sig"), F.min("n").alias("n")), "classes")
+def _judged(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc (``id_key``), own (hash of the text), n, component, kept and class (smallest doc of component and class) for every row of ``docs``."""
+    keyed = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("own"), text_bytes().alias("text"))
+    signed = kept(keyed.mapInArrow(_sign(rule.words), "doc long, own long, n long, whole binary, sig binary"), "signatures")
+    found = signed.filter("n > 0").groupBy("whole").agg(F.min(F.struct("doc", "own")).alias("first"), F.min("sig").alias("sig"), F.min("n").alias("n"))
+    # Numbers of classes; they are fixed by being written.
+    classes = kept(found.select(F.monotonically_increasing_id().alias("rep"), "whole", "first", "sig", "n"), "classes")
     met = kept(classes.select("rep", "sig").mapInArrow(_enumerate(rule.chunks), "key long, rep long").repartition("key")
                .sortWithinPartitions("key").mapInArrow(_shared, "key long, rep long"), "keys").distinct()
-    sizes = stored(classes.groupBy("rep").agg(F.max("n").alias("n")).join(met.select("rep").distinct(), "rep", "left_semi"))
-    texts = kept(keyed.join(sizes.select(F.col("rep").alias("doc")), "doc", "left_semi").groupBy(F.col("doc").alias("rep"))
-                 .agg(F.min("text").alias("text")), "texts")
+    sizes = stored(classes.select("rep", "first", "n").join(met.select("rep").distinct(), "rep", "left_semi"))
+    asked = sizes.select("rep", F.col("first.doc").alias("doc"), F.col("first.own").alias("own"))
+    texts = kept(keyed.join(asked, ["doc", "own"]).groupBy("rep").agg(F.min("text").alias("text")), "texts")
     many = met.groupBy("key").agg(F.count("*").alias("size"))
     rank = met.join(many, "key").groupBy("rep").agg(F.sum("size").alias("shared"))
     hub = met.join(rank, "rep").groupBy("key").agg(F.min(F.struct(-F.col("shared"), "rep")).getField("rep").alias("hub"))
     star = stored(met.join(hub, "key").filter("rep <> hub").select("hub", "rep").distinct())
-    label = components(_links(star, sizes, texts, rule))
-    of_class = (classes.select("whole", "rep").join(label, F.col("rep") == F.col("node"), "left")
-                .select("whole", "rep", F.coalesce("component", "rep").alias("component")))
-    out = signed.select("doc", "n", "whole").join(of_class, "whole", "left")
-    return out.select(from_key(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                      from_key(F.coalesce("component", "doc")).alias("component_id"),
-                      (F.coalesce("component", "doc") == F.col("doc")).alias("kept"), from_key(F.coalesce("rep", "doc")).alias("class_id"))
+    label = components(_links(star, sizes.select("rep", "n"), texts, rule))
+    linked = classes.select("rep", "first").join(label, F.col("rep") == F.col("node"))
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    of_rep = linked.select("rep", "component").join(least, "component").select(F.col("rep").alias("node"), "least")
+    of_class = (classes.select("whole", "rep", "first").join(of_rep, F.col("rep") == F.col("node"), "left")
+                .select("whole", F.col("first.doc").alias("class"), F.coalesce("least", "first").alias("least")))
+    out = signed.select("doc", "own", "n", "whole").join(of_class, "whole", "left")
+    return out.select("doc", "own", "n", F.coalesce("least.doc", "doc").alias("component"),
+                      F.coalesce(F.col("least") == F.struct("doc", "own"), F.lit(True)).alias("kept"), F.coalesce("class", "doc").alias("class"))
+
+
+def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and class_id (the smallest doc_id with an equal set) for every row of ``docs`` (doc_id, text)."""
+    return _judged(docs, rule).select(from_key(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                                      from_key(F.col("component")).alias("component_id"), "kept", from_key(F.col("class")).alias("class_id"))
 
 
 OP3 = Rule(words=3, share=85)
@@ -282,6 +293,13 @@ def drop_near_copies(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
 
     Documents without words are linked with nothing and stay.
     """
-    groups = near_groups(docs, rule)
-    out = groups.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    found = _judged(docs, rule).filter("n > 0").groupBy("doc", "own").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
+    # Documents that go, and those that stay but stand in several rows.
+    marks = kept(found.filter("NOT kept OR rows > 1").select(F.col("doc").alias("_doc"), F.col("own").alias("_own"), "kept"), "copies")
+    keyed = docs.withColumn("_key", id_key()).withColumn("_hash", F.xxhash64("text"))
+    same = (F.col("_key") == F.col("_doc")) & (F.col("_hash") == F.col("_own"))
+    out = keyed.join(marks, same, "left_anti")
+    several = marks.filter("kept")
+    if not several.isEmpty():
+        out = out.unionByName(keyed.join(several, same, "left_semi").dropDuplicates(["_key", "_hash"]))
+    return out.select(*docs.columns)

@@ -1,6 +1,6 @@
 import bisect
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -114,6 +114,27 @@ def test_groups_of_odd_rows_and_families(odd_docs, spark, monkeypatch, cells):
     assert kept.columns == odd_docs.columns
 
 
+def test_repeated_and_missing_ids_over_different_texts(spark):
+    def text(name, changed=0):
+        return " ".join([f"x{name}{changed}"] * bool(changed) + [f"{name}{i}" for i in range(bool(changed), 100)])
+
+    clean = text("z")  # neither the least nor the greatest text of doc_id 5
+    rows = [(3, text("m")), (5, text("m", 1)), (5, clean), (5, text("a")), (7, text("a", 1)), (7, text("q")), (8, clean + " end"),
+            (None, text("n")), (None, text("n", 1)), (None, text("n", 2)), (None, text("n", 2)), (9, text("n", 3)),
+            (None, text("o")), (None, text("o")), (2, text("r", 1)), (2, text("r", 2)), (None, " "), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, kept int, _doc string").repartition(3)
+    for rule in (near_dedup.OP3, near_dedup.STAGE):
+        got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dedup.near_groups(docs, rule).collect())
+        dropped = {k[:3]: n for k, n in got.items() if not k[3]}
+        # One document each of m, a, q, z, n, r; the two rows of o are one document.
+        assert sum(n for k, n in got.items() if k[3] and k[1]) in (8, 9) and sum(n for k, n in got.items() if not k[1]) == 3
+        assert dropped[5, True, 3] == 1 and dropped[7, True, 5] == 1 and dropped[8, True, 5] == 1
+        assert dropped[9, True, None] == 1 and dropped[None, True, None] in (2, 3) and dropped[2, True, 2] == 1
+        stay = [(r.doc_id, r.text) for r in near_dedup.drop_near_copies(docs.drop("kept", "_doc"), rule).collect()]
+        assert Counter((i, t.split()[-1][0] if (t or "").split() else None) for i, t in stay) == {
+            (3, "m"): 1, (5, "z"): 1, (5, "a"): 1, (7, "q"): 1, (None, "n"): 1, (None, "o"): 1, (2, "r"): 1, (None, None): 3}
+
+
 def test_chunks_guarantee_the_distance():
     for rule in (Rule(3, 85), Rule(5, 80), Rule(5, 95)):
         assert rule.chunks * (near_dedup.ERRORS + 1) > rule.distance

@@ -110,7 +110,7 @@ def _(t: Tables):
 
 @query("src_01_json_auto", "SELECT event_id, event_type, event_type || ' ' || user_id AS label FROM events")
 def _(t: Tables):
-    """Array files and files of lines in one folder, with lines that are not records."""
+    """Array files of at most 500 objects and files of lines in one folder, with lines that are not records."""
     path = scratch_path(t.spark, "mixed")
     label = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))
     record = F.to_json(F.struct("event_id", "event_type", label.alias("label")))
@@ -118,8 +118,8 @@ def _(t: Tables):
     lines = t.events.filter(odd).select(F.concat(F.lit("\t"), record).alias("value"))
     wrong = t.events.select(F.explode(F.array(F.lit('"x"'), F.lit('{"event_id": 1} x'), F.lit("{broken"), F.lit("7"))).alias("value"))
     lines.unionByName(wrong).write.text(f"{path}/lines")
-    arrays = t.events.filter(~odd).groupBy((F.col("event_id") % 5).alias("part")).agg(F.concat_ws(",\n", F.collect_list(record)).alias("items"))
-    arrays.select("part", F.concat(F.lit("\n[ "), "items", F.lit("]")).alias("value")).repartition(5, "part").select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
+    arrays = t.events.filter(~odd).groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.concat_ws(",\n", F.collect_list(record)).alias("items"))
+    arrays.select(F.concat(F.lit("\n[ "), "items", F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
     out = registry.load(t.spark, {"type": "file", "format": "json", "path": [f"{path}/lines", f"{path}/arrays"],
                                   "schema": "event_id bigint, event_type string, label string"})
     return out

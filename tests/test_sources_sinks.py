@@ -16,6 +16,16 @@ def test_kafka_options():
         messages.kafka_options(["a"], ["t"], start="middle")
 
 
+def test_array_files_of_the_mixed_folder_do_not_grow_with_the_table(spark, monkeypatch):
+    from sluice.catalog import QUERIES
+
+    paths, load = [], registry.load
+    monkeypatch.setattr(registry, "load", lambda session, spec: paths.append(spec["path"][1]) or load(session, spec))
+    assert QUERIES["src_01_json_auto"](spark, "/root/testdata/sf0.01").distinct().count() == 10_000
+    objects = [r.value.count('"event_id"') for r in spark.read.text(paths[0], wholetext=True).collect()]
+    assert objects == [500] * 10
+
+
 def test_lag():
     progress = {"sources": [{"endOffset": {"t": {"0": 5, "1": 10}}, "latestOffset": {"t": {"0": 8, "1": 10}}},
                             {"endOffset": '{"u": {"0": 1}}', "latestOffset": '{"u": {"0": 3}}'}]}

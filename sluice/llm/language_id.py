@@ -10,7 +10,7 @@ log posterior(language) = text + declared + prior, up to a constant:
 
 The declared table and the priors are grouped aggregates of the text posteriors over all rows; a row's own share is taken out again, so that no row
 confirms itself.  They are joined back by key: no host, suffix or declared value is collected.  The trigram tables are fitted on about
-``SAMPLE`` labelled rows, chosen by hash; they are of fixed size.
+``SAMPLE`` different texts of each language of the labels, or all where there are fewer, chosen by hash; they are of fixed size.
 
 A row is accepted when its best language is not ``und`` and reaches ``CONFIDENCE``.  NULL and empty texts have no trigrams and are not accepted.  A missing
 declared value, host or suffix says nothing.  Without any labelled row only ``und`` is known and nothing is accepted.
@@ -29,6 +29,8 @@ from sluice.llm.base import as_batch, kept, query, table, text_bytes
 
 SAMPLE = 4000
 SLOTS = 1 << 16
+# Texts are drawn by their hash's place among so many.
+PLACES = 1 << 40
 EVIDENCE = 60.0
 CONFIDENCE = 0.5
 # Rows that a coarser level weighs in a finer one.
@@ -63,11 +65,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages with ``und`` last, log probability of each slot under each) from rows (lang, text)."""
     sound = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, sample / max(1, sound.select("lang").count()))
-    drawn = sound.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    sound = sound.withColumn("_hash", F.xxhash64("text"))
+    sizes = sound.select("lang", "_hash").distinct().groupBy("lang").count().collect()  # one row a language
+    pairs = [F.lit(x) for r in sizes for x in (r["lang"], -(-sample * PLACES // max(sample, r["count"])))]
+    limit = F.create_map(*pairs)[F.col("lang")] if pairs else F.lit(0)
+    drawn = sound.filter(F.pmod("_hash", F.lit(PLACES)) < limit).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     counts: dict[str, np.ndarray] = {}
     parts = drawn.select("lang", text_bytes().alias("text")).mapInArrow(_count, "lang string, slots array<int>, counts array<long>")
-    for row in parts.toLocalIterator():  # of a bounded sample
+    for row in parts.toLocalIterator():  # of a bounded sample for each language
         counts.setdefault(row["lang"], np.zeros(SLOTS))[np.array(row["slots"], int)] += row["counts"]
     names = sorted(counts)
     tables = [np.log(counts[n] + 0.1) - np.log(counts[n].sum() + 0.1 * SLOTS) for n in names]

@@ -146,6 +146,21 @@ def test_language_id(spark, odd_docs, small_docs):
     assert language_id.accepted_documents(odd_docs).columns == odd_docs.columns
 
 
+def test_every_language_of_the_labels_is_known_at_any_size(spark):
+    rare = {name: " ".join(f"{name}{i % 7}" for i in range(30)) for name in ("fi", "et", "is", "mt", "ga")}
+    rows = [("en", f"the word {i} and the number {i * i}") for i in range(3000)] + [("en", "qqqq " * 50)] * 3000 + list(rare.items())
+    labelled = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    names, tables = language_id.fit(labelled, 100)
+    assert names == ["en", "et", "fi", "ga", "is", "mt", "und"]
+    for name, text in rare.items():
+        assert names[int(tables[:, language_id.grams(text.encode())].sum(axis=1).argmax())] == name
+    # About 100 different texts, of which the repeated one is one at most.
+    share = np.exp(tables[0][language_id.grams(b"the the the")]).mean()
+    assert share > np.exp(tables[0][language_id.grams(b"qqqqq")][1])
+    drawn = language_id.fit(labelled.filter("text not like 'q%'"), 100)[1][0]
+    assert np.exp(drawn).sum() == pytest.approx(1.0)
+
+
 def test_other_evidence_decides_where_the_text_does_not(spark, small_docs):
     base = small_docs.filter("lang in ('en', 'fr')").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"),
                                                             F.concat("lang", F.lit(".site")).alias("host"), F.lit("org").alias("suffix"))

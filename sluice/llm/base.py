@@ -92,3 +92,21 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 def file_bytes(df: DataFrame) -> int:
     """Size of the text column, an exact figure from one narrow pass."""
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+# Letters A-Z in lower case; other ASCII signs but a-z and 0-9 become blanks.
+TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def term_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Lower-cased runs of ASCII letters, digits and other alphabets' bytes, in lists of about ``size`` bytes of text."""
+    if len(text) <= size:
+        yield text.translate(TERMS).split()
+        return
+    plain = text.translate(TERMS)
+    at = 0
+    while at < len(plain):
+        end = plain.find(b" ", at + size)
+        end = len(plain) if end < 0 else end
+        yield plain[at:end].split()
+        at = end

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sluice.llm.base import NO_ID, Sender, id_key, query, rows, table, text_bytes
-from sluice.llm.tokens import END_ID, encode, vocabulary_path, words_of
+from sluice.llm.tokens import END_ID, encoded, vocabulary_path, words_of
 from sluice.session import scratch_path, stored
 
 # A task starts another shard after so many bytes.
@@ -104,13 +104,13 @@ def _writer(folder: str, vocabulary: str, end_id: int, shard_bytes: int):
             shard += 1
             file = None
 
-        for doc_id, text in rows(batches):
+        for doc_id, ids in ((i, ids) for batch in batches for i, ids in
+                            zip(batch.column("doc_id").to_pylist(), encoded(words, batch.column("text"), end_id), strict=True)):
             if file is None:
                 name = f"part-{part:06d}-{shard:04d}-{uuid.uuid4().hex}"
                 file = system.open_output_stream(f"{root}/{name}.bin")
                 index = system.open_output_stream(f"{root}/{name}.idx")
                 offset = tokens = records = 0
-            ids = encode(words, text, end_id)
             framed = frame(pack(doc_id, ids))
             index.write(np.array([(doc_id, offset, tokens)], _ENTRY).tobytes())
             file.write(framed)

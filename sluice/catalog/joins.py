@@ -38,8 +38,9 @@ def _types(t: Tables):
 
 register("jon_05_hierarchy_depth", lambda t: X.hierarchy_depth(_types(t), "id", "parent_id").select("id", "depth"), """
     WITH RECURSIVE types AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 0 THEN c_custkey // 2 END AS parent_id FROM customer),
-         walk AS (SELECT id, parent_id AS up, 1 AS depth FROM types
-                  UNION ALL SELECT walk.id, types.parent_id, depth + 1 FROM walk JOIN types ON walk.up = types.id WHERE depth < 10)
+         walk AS (SELECT id, parent_id AS up, 1 AS depth, [id] AS path FROM types
+                  UNION ALL SELECT walk.id, types.parent_id, depth + 1, list_append(path, types.id)
+                  FROM walk JOIN types ON walk.up = types.id WHERE NOT list_contains(path, types.id))
     SELECT id, max(depth) AS depth FROM walk GROUP BY id""")
 
 

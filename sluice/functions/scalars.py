@@ -40,11 +40,17 @@ def parse_json(text: Column, schema: str | None = None) -> Column:
 def json_object(text: Column) -> Column:
     """JSON text as a VARIANT when it is one object and nothing else, else NULL.
 
-    The text is read as the only item of an array, because the parser stops at the end of the first value it
-    meets.  Of repeated keys the last counts where ``spark.sql.variant.allowDuplicateKeys`` is on.
+    The parser stops at the end of the first value it meets.  A text whose only closing brace is its last sign has nothing behind that
+    value.  Any other is read as the only item of an array; where the array may end before the text does, the text must also be
+    readable as the value of a key, since what ends an array does not end an object.
+    Of repeated keys the last counts where ``spark.sql.variant.allowDuplicateKeys`` is on.
     """
-    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(text.rlike(r"^\s*\{") & (F.size(items) == 1), F.get(items, 0))
+    flat = text.rlike(r"^\s*\{[^}]*\}\s*$")
+    parsed = F.try_parse_json(F.when(flat, text).otherwise(F.concat(F.lit("["), text, F.lit("]"))))
+    items = F.try_variant_get(parsed, "$", "array<variant>")
+    keyed = F.map_keys(F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"_":'), text, F.lit("}"))), "$", "map<string,variant>"))
+    ends = F.when(text.rlike(r"\}\s*\]"), F.coalesce(F.size(keyed) == 1, F.lit(False))).otherwise(F.lit(True))
+    return F.when(flat, parsed).when(text.rlike(r"^\s*\{") & (F.size(items) == 1) & ends, F.get(items, 0))
 
 
 def rfc3339(ts: Column) -> Column:

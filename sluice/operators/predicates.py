@@ -10,6 +10,7 @@ import ipaddress
 import re
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,76 +77,130 @@ def check_node(node: dict) -> None:
 
 # -- the string form ---------------------------------------------------------------------
 
-def _split_outside(text: str, mark: str) -> list[str]:
-    """Split at ``mark`` outside parentheses and quotes.
-
-    A quote opens only where a value can begin, so the apostrophe of an unquoted name is a letter.
-    """
-    parts, depth, quote, start, i = [], 0, "", 0, 0
-    while i < len(text):
-        ch = text[i]
-        if quote:
-            quote = "" if ch == quote else quote
-        elif ch in "'\"" and (i == 0 or text[i - 1] in " \t\n=<>~,[("):
-            quote = ch
-        elif ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        elif depth == 0 and text.startswith(mark, i):
-            parts.append(text[start:i])
-            i += len(mark)
-            start = i
-            continue
-        i += 1
-    if quote:
-        raise ValueError(f"a quote is not closed in {text!r}")
-    return [*parts, text[start:]]
+_TOKEN = re.compile(r"""
+    (?P<space>\s+)
+  | (?P<quoted>'[^']*'|"[^"]*")
+  | (?P<logic>&&|\|\|)
+  | (?P<symbol>[~!<>=]=|[<>])
+  | (?P<mark>[()\[\],!])
+  | (?P<open>['"])
+  | (?P<word>(?:(?!&&|\|\||[~!=]=)[^\s()\[\],!<>])+)
+""", re.X)
+WORDED = ("contains", "startswith", "endswith", "in", "notin")
+
+
+class _Token(NamedTuple):
+    kind: str
+    text: str
+    start: int
+    end: int
+
+
+def _tokens(text: str) -> list[_Token]:
+    """Blanks apart.  A quote opens only where a token begins, so the apostrophe inside a name is a letter."""
+    found, at = [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if m is None or m.lastgroup == "open":
+            raise ValueError(f"a quote is not closed in {text!r}" if m else f"cannot read {text[at:]!r}")
+        if m.lastgroup != "space":
+            found.append(_Token(m.lastgroup, m[0], m.start(), m.end()))
+        at = m.end()
+    return found
+
+
+class _Expression:
+    """Precedence parser: alternatives of conjunctions of terms."""
+
+    def __init__(self, text: str):
+        self.source, self.tokens, self.at = text, _tokens(text), 0
+
+    def peek(self, ahead: int = 0) -> str:
+        place = self.at + ahead
+        return self.tokens[place].text if place < len(self.tokens) else ""
+
+    def accept(self, *texts: str) -> bool:
+        """Step over these tokens if they are the next ones."""
+        if any(self.peek(i) != t for i, t in enumerate(texts)):
+            return False
+        self.at += len(texts)
+        return True
+
+    def fail(self):
+        raise ValueError(f"cannot read condition {self.source!r}")
+
+    def whole(self) -> dict:
+        tree = self.group("||", "or", lambda: self.group("&&", "and", self.term))
+        return tree if self.at == len(self.tokens) else self.fail()
+
+    def group(self, mark: str, name: str, part: Callable[[], dict]) -> dict:
+        parts = [part()]
+        while self.accept(mark):
+            parts.append(part())
+        return {name: parts} if len(parts) > 1 else parts[0]
+
+    def term(self) -> dict:
+        if self.accept("("):
+            inner = self.group("||", "or", lambda: self.group("&&", "and", self.term))
+            return inner if self.accept(")") else self.fail()
+        if self.accept("!", "("):
+            field = self.field()
+            return condition(field, "notexists") if self.accept("exists", ")") else self.fail()
+        field = self.field()
+        if self.peek() == "exists" and self.peek(1) in ("", "&&", "||", ")"):
+            self.at += 1
+            return condition(field, "exists")
+        op = self.peek()
+        self.at += 1
+        value = self.value()
+        plain = self.raw(value)
+        if op in SYMBOLS:
+            if plain == "null" and op in ("==", "!="):
+                return condition(field, "null" if op == "==" else "notnull")
+            return condition(field, SYMBOLS[op], self.plain(value))
+        if op not in WORDED or not value:
+            self.fail()
+        return condition(field, op, self.items(value) if op in ("in", "notin") else self.plain(value))
+
+    def field(self) -> str:
+        if self.at >= len(self.tokens) or self.tokens[self.at].kind != "word":
+            self.fail()
+        self.at += 1
+        return self.tokens[self.at - 1].text.lstrip(".")
+
+    def value(self) -> list[_Token]:
+        """Tokens up to the next logical operator or the bracket that closes the term."""
+        first, depth = self.at, 0
+        while self.at < len(self.tokens):
+            text = self.peek()
+            if depth == 0 and text in ("&&", "||", ")"):
+                break
+            depth += (text == "(") - (text == ")")
+            self.at += 1
+        return self.tokens[first:self.at]
+
+    def raw(self, tokens: list[_Token]) -> str:
+        return self.source[tokens[0].start:tokens[-1].end] if tokens else ""
+
+    def plain(self, tokens: list[_Token]) -> str:
+        """The text as written, or what a single pair of quotes holds."""
+        raw = self.raw(tokens)
+        return raw[1:-1] if len(tokens) == 1 and tokens[0].kind == "quoted" else raw
+
+    def items(self, tokens: list[_Token]) -> list[str]:
+        """``a, b``, ``[a, b]`` or the printed form ``[a b]``."""
+        listed = tokens[0].text == "[" and tokens[-1].text == "]"
+        inner = tokens[1:-1] if listed else tokens
+        commas = [i for i, token in enumerate(inner) if token.text == ","]
+        if listed and not commas:
+            return [self.plain([token]) for token in inner]
+        cuts = [-1, *commas, len(inner)]
+        return [self.plain(inner[a + 1:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def parse_expression(text: str) -> dict:
     """``.a == 'x' && (.b > 1 || .c exists)`` as a tree; ``||`` binds weaker than ``&&``."""
-    text = text.strip()
-    for mark, name in (("||", "or"), ("&&", "and")):
-        parts = _split_outside(text, mark)
-        if len(parts) > 1:
-            return {name: [parse_expression(p) for p in parts]}
-    absent = re.fullmatch(r"!\s*\(\s*(\S+)\s+exists\s*\)", text)
-    if absent:
-        return condition(absent.group(1).lstrip("."), "notexists")
-    if text.startswith("(") and text.endswith(")"):
-        return parse_expression(text[1:-1])
-    there = re.fullmatch(r"(\S+)\s+exists", text)
-    if there:
-        return condition(there.group(1).lstrip("."), "exists")
-    simple = re.fullmatch(r"(\S+?)\s*(~=|!=|>=|<=|==|>|<)\s*(.*)", text, re.S)
-    if not simple:
-        worded = re.fullmatch(r"(\S+)\s+(contains|startswith|endswith|in|notin)\s+(.+)", text, re.S)
-        if not worded:
-            raise ValueError(f"cannot read condition {text!r}")
-        field, op, raw = worded.groups()
-        if op in ("in", "notin"):
-            items = _items(raw.strip())
-            return condition(field.lstrip("."), op, items)
-        return condition(field.lstrip("."), op, _unquote(raw))
-    field, symbol, raw = simple.groups()
-    if raw.strip() == "null" and symbol in ("==", "!="):
-        return condition(field.lstrip("."), "null" if symbol == "==" else "notnull")
-    return condition(field.lstrip("."), SYMBOLS[symbol], _unquote(raw))
-
-
-def _items(raw: str) -> list[str]:
-    """``a, b``, ``[a, b]`` or the printed form ``[a b]``."""
-    inner = raw.removeprefix("[").removesuffix("]")
-    parts = _split_outside(inner, ",")
-    if len(parts) == 1 and raw.startswith("["):
-        parts = re.findall(r"'[^']*'|\"[^\"]*\"|\S+", inner)
-    return [_unquote(p) for p in parts]
-
-
-def _unquote(raw: str) -> str:
-    raw = raw.strip()
-    return raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"" else raw
+    return _Expression(text).whole()
 
 
 # -- conditions to Columns ---------------------------------------------------------------

@@ -185,3 +185,26 @@ def test_ip_operator(spark):
     df = spark.createDataFrame([("10.1.2.3",), ("10.2.0.1",), ("not an ip",), ("10.1.2.999",)], "ip string")
     hit = P.ip_in_range(P.record_of(df).field("ip"), "10.1.0.0/16")
     assert [r[0] for r in df.select(F.coalesce(hit, F.lit(False))).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize("text, tree", [
+    (".a == 1 || .b == 2 && .c == 3", {"or": [C("a", "eq", "1"), {"and": [C("b", "eq", "2"), C("c", "eq", "3")]}]}),
+    ("(.a == 1 || .b == 2) && .c == 3", {"and": [{"or": [C("a", "eq", "1"), C("b", "eq", "2")]}, C("c", "eq", "3")]}),
+    ("((.a exists))", C("a", "exists")),
+    ("! ( .a.b exists ) && .c exists", {"and": [C("a.b", "notexists"), C("c", "exists")]}),
+    (".a ~= ^(x|y)+$ && .b > 1", {"and": [C("a", "regex", "^(x|y)+$"), C("b", "gt", "1")]}),
+    (".a == 'x && (y' || .b != \"it's\"", {"or": [C("a", "eq", "x && (y"), C("b", "neq", "it's")]}),
+    (".name contains O'Brien && .b == null", {"and": [C("name", "contains", "O'Brien"), C("b", "null")]}),
+    (".a == two  words", C("a", "eq", "two  words")), (".url == http://h/?x=1&y=2", C("url", "eq", "http://h/?x=1&y=2")),
+    (".a in ['x, y', z]", C("a", "in", ["x, y", "z"])), (".a notin [1 2 3]", C("a", "notin", ["1", "2", "3"])),
+    (".a in x, y", C("a", "in", ["x", "y"])), (".a == 'x' 'y'", C("a", "eq", "'x' 'y'")), (".exists exists", C("exists", "exists")),
+    (".a<-1", C("a", "lt", "-1")), (".a == exists", C("a", "eq", "exists")),
+])
+def test_expressions_are_read_by_precedence(text, tree):
+    assert P.parse_expression(text) == tree
+
+
+@pytest.mark.parametrize("text", ["", ".a ==  'x", "(.a == 1", ".a == 1)", ".a", "&& .a == 1", ".a contains", ".a like b", "!(.a == 1)", ".a == 1 || "])
+def test_broken_expressions(text):
+    with pytest.raises(ValueError):
+        P.parse_expression(text)

@@ -169,3 +169,22 @@ def test_soft_delete_now_and_kept_body(spark):
 def test_average_latency():
     assert statistics.average_latency([10, 30]) == 20
     assert statistics.average_latency([]) is None
+
+
+def test_one_object_and_nothing_else(spark):
+    """Texts with something behind the object, which a parser that stops at its end would take."""
+    import json
+
+    from sluice.functions.scalars import json_object
+
+    texts = ['{"a":1}', ' {"a":1} \n', '{"a":1}] x', '{"a":1}],[{"b":2}', '{"a":1} {"b":2}', '{"a":"}"}', '{"a":[{"b":1}]}', '{"a":[{"b":1}]}]', '{"a":"x}]"}',
+             '{"a":"} ]"} ]', "[1]", "", "{}", '{"a":1}}', '{"a":{}},{"b":1}', '{"a":[{}]},"_":{"c":1}', None, "{a}"]
+
+    def is_object(text):
+        try:
+            return isinstance(json.loads(text or ""), dict)
+        except ValueError:
+            return False
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_object(F.col("t")).isNotNull().alias("ok")).collect()
+    assert {r["t"]: r["ok"] for r in rows} == {t: is_object(t) for t in texts}

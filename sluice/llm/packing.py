@@ -28,17 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sluice.llm.base import Sender, kept, query, rows, table, text_bytes
-from sluice.llm.tokens import END_ID, encode, vocabulary_path, words_of
+from sluice.llm.tokens import END_ID, encoded, vocabulary_path, words_of
 from sluice.session import stored
 
 CAPACITY = 4096
 LAST = 64
+# Rows of a round in one range and one file; they are a few numbers each.
+ROWS_PER_FILE = 250_000
 
 _PIECE = pa.schema([("uid", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                     ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _PIECE_DDL = "uid long, row long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 _SWEPT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("slot", pa.int32()), ("size", pa.int64()),
-                    ("rank", pa.int64()), ("lead", pa.int64())])
+                    ("room", pa.int64()), ("rank", pa.int64()), ("lead", pa.int64())])
 
 
 def _cutter(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
@@ -46,15 +48,15 @@ def _cutter(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
         words = words_of(vocabulary)
         send = Sender(_PIECE)
         uid = TaskContext.get().partitionId() << 33
-        for doc_id, text in rows(batches):
-            ids = encode(words, text, end_id)
-            row = uid
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at:at + 4 * capacity]
-                if send.add((uid, row, doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None),
-                            len(part) if with_ids else 0):
-                    yield send.take()
-                uid += 1
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded(words, batch.column("text"), end_id), strict=True):
+                row = uid
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at:at + 4 * capacity]
+                    if send.add((uid, row, doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None),
+                                len(part) if with_ids else 0):
+                        yield send.take()
+                    uid += 1
         yield send.take()
 
     return cut
@@ -90,20 +92,25 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead = np.maximum(lead, np.maximum.accumulate(np.where(slot, rank_piece - rank_slot, -(1 << 62))))
         slots, pieces_, lead = int(slots + slot.sum()), int(pieces_ + (~slot).sum()), int(ahead[-1])
         yield pa.record_batch([pa.array(np.full(len(kind), part, np.int32)), batch.column("kind"), batch.column("id"), batch.column("slot"),
-                               batch.column("size"), pa.array(np.where(slot, rank_slot, rank_piece)), pa.array(ahead)], schema=_SWEPT)
+                               batch.column("size"), batch.column("room"), pa.array(np.where(slot, rank_slot, rank_piece)), pa.array(ahead)], schema=_SWEPT)
 
 
-def _round(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
-    """Matched (uid, size, id: the gap, slot), one piece per slot."""
+def _files(n: int) -> int:
+    return max(1, -(-n // ROWS_PER_FILE))
+
+
+def _round(todo: DataFrame, gaps: DataFrame, low: int, high: int, n: int) -> DataFrame:
+    """Matched (uid, size, id: the gap, slot, room: of the gap), one piece per slot; ``n``: pieces and gaps at most."""
     spark = todo.sparkSession
     slots = F.greatest(F.lit(1), F.expr(f"room div {high}")).cast("int")
     offered = (gaps.filter(F.col("room") > low).select("seq", "room", slots.alias("slots"))
                .select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
-                       F.expr("room div slots").alias("size")))
-    both = offered.unionByName(todo.select(F.lit(1).alias("kind"), F.col("uid").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size")))
+                       F.expr("room div slots").alias("size"), "room"))
+    both = offered.unionByName(todo.select(F.lit(1).alias("kind"), F.col("uid").alias("id"), F.lit(0).alias("slot"), F.col("length").alias("size"),
+                                           F.lit(None).cast("bigint").alias("room")))
     order = [F.col("size").desc(), F.col("kind"), F.col("id"), F.col("slot")]
-    swept = stored(both.repartitionByRange(*order).sortWithinPartitions(*order).select("kind", "id", "slot", "size").mapInArrow(
-        _sweep, "part int, kind int, id long, slot int, size long, rank long, lead long"))
+    swept = stored(both.repartitionByRange(_files(n), *order).sortWithinPartitions(*order).select("kind", "id", "slot", "size", "room").mapInArrow(
+        _sweep, "part int, kind int, id long, slot int, size long, room long, rank long, lead long"))
     # A row per task that had rows.
     ends = swept.groupBy("part").agg(F.sum((F.col("kind") == 0).cast("bigint")).alias("s"), F.sum("kind").cast("bigint").alias("p"),
                                      F.max("lead").alias("lead")).orderBy("part").collect()
@@ -115,40 +122,42 @@ def _round(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> DataFrame:
     carry = F.broadcast(spark.createDataFrame(before, "part int, s long, p long, l long"))
     placed = swept.join(carry, "part")
     ahead = F.greatest("l", F.col("p") - F.col("s") + F.col("lead"))
-    wanted = placed.filter("kind = 0").select("id", "slot", (F.col("rank") + F.col("s") + ahead).alias("at")).filter(F.col("at") < p)
+    wanted = placed.filter("kind = 0").select("id", "slot", "room", (F.col("rank") + F.col("s") + ahead).alias("at")).filter(F.col("at") < p)
     there = placed.filter("kind = 1").select((F.col("rank") + F.col("p")).alias("at"), F.col("id").alias("uid"), "size")
-    return wanted.join(there, "at").select("uid", "size", "id", "slot")
+    return wanted.join(there, "at").select("uid", "size", "id", "slot", "room")
 
 
 def assign(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """uid, sequence_id, offset for rows (uid, length) with lengths from 1 to ``capacity``.  A sequence is named after its first piece."""
+    total = sizes.count()  # gaps are no more
     out = [sizes.filter(F.col("length") * 2 > capacity).select("uid", F.col("uid").alias("seq"), F.lit(0).cast("bigint").alias("offset"))]
     gaps = stored(sizes.filter((F.col("length") * 2 > capacity) & (F.col("length") < capacity))
-                  .select(F.col("uid").alias("seq"), (F.lit(capacity) - F.col("length")).alias("room")))
+                  .select(F.col("uid").alias("seq"), (F.lit(capacity) - F.col("length")).alias("room")).coalesce(_files(total)))
     for low, high in classes(capacity)[1:]:
-        todo = stored(sizes.filter((F.col("length") > low) & (F.col("length") <= high)).select("uid", "length"))
+        todo = stored(sizes.filter((F.col("length") > low) & (F.col("length") <= high)).select("uid", "length").coalesce(_files(total)))
         left = todo.count()
         while left:
-            matched = stored(_round(todo, gaps, low, high))
-            fitted = matched.count()
-            if not fitted:
-                break
             own = Window.partitionBy("id").orderBy("slot")
             # At most ``capacity`` pieces share a sequence.
-            placed = (matched.withColumn("filled", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-                      .join(gaps, F.col("id") == F.col("seq"))
-                      .select("uid", "seq", (F.lit(capacity) - F.col("room") + F.col("filled") - F.col("size")).alias("offset")))
-            out.append(stored(placed))
-            taken = matched.groupBy(F.col("id").alias("seq")).agg(F.sum("size").alias("taken"))
-            gaps = stored(gaps.join(taken, "seq", "left").select("seq", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")).filter("room > 0"))
+            filled = F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))
+            placed = stored(_round(todo, gaps, low, high, total + left).select(
+                "uid", F.col("id").alias("seq"), (F.lit(capacity) - F.col("room") + filled - F.col("size")).alias("offset"), "size").coalesce(_files(left)))
+            fitted = placed.count()
+            if not fitted:
+                break
+            out.append(placed.select("uid", "seq", "offset"))
+            taken = placed.groupBy(F.col("seq").alias("of")).agg(F.sum("size").alias("taken"))
+            gaps = stored(gaps.join(taken, F.col("seq") == F.col("of"), "left").select(
+                "seq", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")).filter("room > 0").coalesce(_files(total)))
             left -= fitted
-            todo = stored(todo.join(matched.select("uid"), "uid", "left_anti"))
+            todo = stored(todo.join(placed.select("uid"), "uid", "left_anti").coalesce(_files(left)))
             if fitted * LAST < left:
                 break
         if left:
-            opened = stored(_open(todo, capacity, capacity // high))
+            opened = stored(_open(todo, capacity, _files(left)))
             out.append(opened.select("uid", "seq", "offset"))
-            gaps = stored(gaps.unionByName(opened.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("room")).filter("room > 0")))
+            rests = opened.groupBy("seq").agg((F.lit(capacity) - F.sum("length")).alias("room")).filter("room > 0")
+            gaps = stored(gaps.unionByName(rests).coalesce(_files(total)))
     placed = out[0]
     for more in out[1:]:
         placed = placed.unionByName(more)
@@ -174,9 +183,9 @@ def _opener(capacity: int):
     return open_
 
 
-def _open(todo: DataFrame, capacity: int, each: int) -> DataFrame:
-    """Neighbours by size share a new sequence, ``each`` or more of them."""
-    return (todo.repartitionByRange("length", "uid").sortWithinPartitions("length", "uid").select("uid", "length")
+def _open(todo: DataFrame, capacity: int, files: int) -> DataFrame:
+    """Neighbours by size share a new sequence, as many as fit."""
+    return (todo.repartitionByRange(files, "length", "uid").sortWithinPartitions("length", "uid").select("uid", "length")
             .mapInArrow(_opener(capacity), "uid long, length long, seq long, offset long"))
 
 

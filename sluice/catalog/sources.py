@@ -8,6 +8,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from sluice.catalog.base import Tables, query, register
 from sluice.session import scratch_path
 from sluice.sources import api_pages, change_feed, demo, files, messages, registry, schema, tables
+from sluice.streaming.dedup import batch_store
+from sluice.streaming.polled import PolledTable
 from sluice.streaming.run import run_to_table
 
 EVENT = "event_id bigint, user_id bigint, event_type string, value double"
@@ -94,13 +96,23 @@ def _(t: Tables):
 def _(t: Tables):
     """Every page of the table, each in an order other than the id's."""
     out, marks = scratch_path(t.spark, "polled"), tables.MarkStore(t.spark, scratch_path(t.spark, "marks"))
-    size = -(-t.events.count() // 7)
     for _mark in tables.poll_all(t.events, lambda df: df.write.mode("append").parquet(out), marks, "events", 500, id_column="event_id",
-                                 columns=["event_type"], condition=".event_type != 'view'", order_by="event_type", batch_size=size):
+                                 columns=["event_type"], condition=".event_type != 'view'", order_by="event_type", batch_size=2500):
         pass
     return t.spark.read.parquet(out).select("event_id", "event_type")
 
 
+@query("src_08_poll_stream", "SELECT event_id, event_type FROM events WHERE event_id > 500 AND event_type <> 'view'")
+def _(t: Tables):
+    """The table polled by a stream that is stopped after two pages and goes on from its checkpoint."""
+    out, state, checkpoint = (scratch_path(t.spark, n) for n in ("polled", "last-ids", "poll-state"))
+    polled = lambda: PolledTable(t.spark, state, lambda: t.events, "event_id", ["event_type"], ".event_type != 'view'", "event_type", 2500, 500)
+    write = batch_store(t.spark, out)
+    polled().drain(write, checkpoint, most=2)
+    polled().drain(write, checkpoint)
+    return t.spark.read.parquet(out).select("event_id", "event_type")
+
+
 @query("src_08_event_source", "SELECT event_id, event_type FROM events WHERE event_id > 500 AND event_type <> 'view'")
 def _(t: Tables):
     return registry.load(t.spark, {"type": "sql_event", "table": {"type": "parquet", "path": t.path("events")}, "last": 500,

@@ -12,6 +12,7 @@ from sluice.plans import dataflow
 from sluice.session import scratch_path
 from sluice.streaming import dedup, realtime as RT, run
 from sluice.streaming.changes import ChangeTable
+from sluice.streaming.windows import LateRows, WindowTable
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -22,11 +23,33 @@ def _stream(t: Tables, name: str = "events") -> DataFrame:
     return run.stream_table(t.spark, f"{path[:-1]}[{path[-1]}]", getattr(t, name).schema)
 
 
-def _stored_stream(t: Tables, rows: DataFrame, label: str) -> DataFrame:
-    """A derived table, stored and read as a stream."""
+# Micro-batches of a fed stream, and files of each.
+BATCHES = 4
+FILES = 4
+
+
+def _fed(t: Tables, rows: DataFrame, label: str, part) -> DataFrame:
+    """A derived table as a stream of ``BATCHES`` micro-batches: those rows first whose ``part`` is 0, then 1, and so on.
+
+    Each part is written by several tasks into ``FILES`` files, which one micro-batch reads.
+    """
     path = scratch_path(t.spark, label)
-    rows.write.parquet(path)
-    return run.stream_table(t.spark, path, rows.schema)
+    for i in range(BATCHES):
+        some = rows.filter(F.coalesce(part, F.lit(0)) == i)
+        if not some.isEmpty():
+            some.repartition(FILES).write.mode("append").parquet(path)
+    return run.stream_table(t.spark, path, rows.schema, max_files=FILES)
+
+
+def _stored_stream(t: Tables, rows: DataFrame, label: str) -> DataFrame:
+    """A derived table of events, fed in the order of time."""
+    cuts = t.events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / BATCHES for i in range(1, BATCHES)], 1000)).first()[0] or []
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    return _fed(t, rows, label, sum([(moment > cut).cast("int") for cut in cuts], F.lit(0)))
+
+
+def _events_in_time(t: Tables) -> DataFrame:
+    return _stored_stream(t, t.events.drop("props"), "events")
 
 
 FIRST_COPY = COPIES + """ SELECT event_id, event_type FROM copies WHERE value > 2
@@ -62,7 +85,7 @@ def _typed_stream(t: Tables) -> DataFrame:
 
 
 register("str_02_stateful_upsert",
-         lambda t: run.run_to_table(RT.realtime(_typed_stream(t), ["user_id"], ["ts", "event_id"]), "upserts")
+         lambda t: run.run_to_table(RT.realtime(_typed_stream(t), ["user_id"], ["ts", "event_id"]), "upserts", timers=True)
          .select("event_id", "user_id", "event_type"), UPSERTS)
 
 
@@ -94,41 +117,54 @@ TYPE_FILTER = P.condition("event_type", "in", ["CREATE", "DELETE"])
 register("str_03_chain_type_filter", lambda t: _table_chain(t, TYPE_FILTER), CREATED_ONLY)
 register("str_03_chain_type_filter_stateful",
          lambda t: run.run_to_table(RT.realtime(_typed_stream(t), ["user_id"], ["ts", "event_id"], condition=TYPE_FILTER,
-                                                id_field="event_id"), "chain").select("event_id", "user_id", "event_type"),
+                                                id_field="event_id"), "chain", timers=True).select("event_id", "user_id", "event_type"),
          CREATED_ONLY)
 
 
-def _closed(size: str, step: str) -> str:
-    """Windows that a watermark at the last event has closed."""
+def _whole(step: str) -> str:
+    """All windows of the table."""
     return f"""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total
-        FROM ({step}) WHERE s + INTERVAL {size} <= (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL"""
+        FROM ({step}) GROUP BY ALL"""
 
 
 def _windows(t: Tables, size: str, slide: str | None) -> DataFrame:
-    stream = run.with_event_time(_stream(t), "ts")
-    out = A.window_aggregate(stream, "ts", {"n": ("count", None), "total": ("sum", "value")}, ["event_type"], size, slide, "10 minutes")
-    rows = run.run_to_table(out, "windows")
-    return rows.select(F.date_format("window_start", TIME).alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+    """Windows of a stream in time order: closed by the watermark on the way, the last ones when the input ends."""
+    stream = run.with_event_time(_events_in_time(t), "ts")
+    table = WindowTable(t.spark, scratch_path(t.spark, "windows"), stream.schema, "ts", {"n": ("count", None), "total": ("sum", "value")},
+                        ["event_type"], size, slide, "10 minutes")
+    run.run_batches(stream, table.handle, "windows")
+    return table.finish().select(F.date_format("window_start", TIME).alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 register("str_04_tumbling_window", lambda t: _windows(t, "1 hour", None),
-         _closed("1 HOUR", "SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events"))
+         _whole("SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events"))
 register("str_05_sliding_window", lambda t: _windows(t, "2 hours", "1 hour"),
-         _closed("2 HOUR", "SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events UNION ALL "
-                           "SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR FROM events"))
+         _whole("SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events UNION ALL "
+                "SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR FROM events"))
 
 
-@query("str_06_watermark_column", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query("str_06_watermark_column", """
+    WITH parts AS (SELECT *, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS part FROM events),
+         tops AS (SELECT part, max(ts) AS top FROM parts GROUP BY part),
+         marks AS (SELECT part, max(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 5 MINUTE AS mark FROM tops)
+    SELECT user_id, count(*) FILTER (WHERE mark IS NULL OR ts >= mark) AS n, count(*) FILTER (WHERE ts < mark) AS late
+    FROM parts JOIN marks USING (part) GROUP BY user_id""")
 def _(t: Tables):
-    """Counts per key of a watermarked stream; nothing is late in one pass over the table."""
-    stream = run.with_event_time(_stream(t), "ts").withWatermark("ts", "5 minutes")
-    rows = run.run_to_table(stream.select("user_id", "ts"), "timed")
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Events in the order of their ids, four batches: counts per key of rows that are on time, and of those that are late."""
+    rows = t.events.select("event_id", "user_id", "ts")
+    top = rows.agg(F.max("event_id")).first()[0]
+    stream = run.with_event_time(_fed(t, rows, "by-id", F.floor(F.col("event_id") * BATCHES / F.lit((top or 0) + 1)).cast("int")), "ts")
+    good, late = scratch_path(t.spark, "on-time"), scratch_path(t.spark, "late")
+    split = LateRows(t.spark, scratch_path(t.spark, "split"), "ts", "5 minutes")
+    run.run_batches(stream, split.handler(dedup.batch_store(t.spark, good), dedup.batch_store(t.spark, late)), "timed")
+    counted = lambda path: t.spark.read.schema(stream.schema).parquet(path)
+    both = counted(good).withColumn("is_late", F.lit(False)).unionByName(counted(late).withColumn("is_late", F.lit(True)))
+    return both.groupBy("user_id").agg(F.count_if(~F.col("is_late")).alias("n"), F.count_if("is_late").alias("late"))
 
 
 def _throttled(strategy: str, rate: int, burst: int):
     return lambda t: run.run_to_table(
-        RT.throttle(_stream(t).drop("props"), ["event_type"], "ts", "event_id", rate, "hour", burst, strategy), "throttled"
+        RT.throttle(_events_in_time(t), ["event_type"], "ts", "event_id", rate, "hour", burst, strategy), "throttled"
     ).select("event_id", "event_type")
 
 
@@ -141,7 +177,7 @@ register("str_07_throttle_fixed", _throttled("fixed_window", 2, 1),
 def _(t: Tables):
     out = scratch_path(t.spark, "throttled")
     table = RT.ThrottleTable(t.spark, scratch_path(t.spark, "limits"), ["event_type"], "ts", "event_id", 2, "hour", 1, "fixed_window")
-    run.run_batches(_stream(t).drop("props"), table.handler(dedup.batch_store(t.spark, out)), "throttle")
+    run.run_batches(_events_in_time(t), table.handler(dedup.batch_store(t.spark, out)), "throttle")
     return t.spark.read.parquet(out).select("event_id", "event_type")
 
 
@@ -175,7 +211,7 @@ register("str_09_chain_as_stream", lambda t: run.run_to_table(dataflow.build(t.s
 @query("str_10_latest_per_key", """
     SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def _(t: Tables):
-    newest = RT.latest(_stream(t).drop("props"), ["user_id"], ["ts", "event_id"])
+    newest = RT.latest(_events_in_time(t), ["user_id"], ["ts", "event_id"])
     table = RT.LatestTable(t.spark, scratch_path(t.spark, "latest"), newest.schema, ["user_id"])
     run.run_batches(newest, table.handle, "latest", mode="update")
     return table.current().select("user_id", "event_id", "event_type")
@@ -219,27 +255,22 @@ _STATES = """ SELECT 'physical' AS policy, id, seq, level, NULL AS mark FROM las
 
 @query("cdc_11_stream_apply", LATEST + _STATES)
 def _(t: Tables):
-    """The change log in four batches, in order; every delete policy keeps its own table, with a snapshot after two batches."""
-    log, path = change_log(t), scratch_path(t.spark, "log")
+    """The change log in four batches, in order; every delete policy keeps its own table."""
+    log = change_log(t)
     top = log.agg(F.max("seq")).first()[0]
-    for part in range(4):  # one file each, so that a micro-batch is one part
-        inside = F.floor(F.col("seq") * 4 / (top + 1)) == part
-        log.filter(inside).coalesce(1).write.mode("append").parquet(path)
+    stream = _fed(t, log, "log", F.floor(F.col("seq") * BATCHES / F.lit((top or 0) + 1)).cast("int"))
     policies = {"physical": DeletePolicy("physical", **BY_OP), "ignore": DeletePolicy("ignore", **BY_OP),
                 "timestamp": DeletePolicy("soft", "timestamp", "mark", **BY_OP), "boolean": DeletePolicy("soft", "boolean", "mark", **BY_OP),
                 "status": DeletePolicy("soft", "status", "mark", **BY_OP), "custom": DeletePolicy("soft", "custom", "mark", "gone", "live", **BY_OP)}
-    tables = {name: ChangeTable(t.spark, scratch_path(t.spark, name), log.schema, ["id"], ["seq"], policy, "seq", ["__op"], every=2)
+    tables = {name: ChangeTable(t.spark, scratch_path(t.spark, name), log.schema, ["id"], ["seq"], policy, "seq", ["__op"], classes=2)
               for name, policy in policies.items()}
-    last = -1
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        nonlocal last
-        last = batch_id
         for table in tables.values():
             table.handle(batch, batch_id)
 
-    run.run_batches(run.stream_table(t.spark, path, log.schema, max_files=1), handle, "log")
-    frames = [table.current(last).select(F.lit(name).alias("policy"), "id", "seq", "level",
+    run.run_batches(stream, handle, "log")
+    frames = [table.current().select(F.lit(name).alias("policy"), "id", "seq", "level",
                                          (F.col("mark").cast("string") if policies[name].field_name else F.lit(None).cast("string")).alias("mark"))
               for name, table in tables.items()]
     return X.union_sources(frames)

@@ -36,6 +36,8 @@ def bind(query: str, parameters: dict) -> str:
     import re
 
     def literal(hit) -> str:
+        if hit[1] is None:
+            return hit[0]  # quoted text stays as it is
         value = parameters[hit[1]]
         if value is None:
             return "NULL"
@@ -43,7 +45,7 @@ def bind(query: str, parameters: dict) -> str:
             return str(value).upper()
         return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
 
-    return re.sub(r"(?<![:\w]):([A-Za-z_]\w*)", literal, query)
+    return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|(?<![:\w]):([A-Za-z_]\w*)", literal, query)
 
 
 def read_sql(spark: SparkSession, query: str, parameters: dict | None = None, **options) -> DataFrame:
@@ -86,15 +88,52 @@ class MarkStore:
         row.coalesce(1).write.mode("append").parquet(self.path)
 
 
+# Ranges of ids whose rows are counted in one pass when the end of a page is looked for.
+BINS = 4096
+
+
+def page_end(rows: DataFrame, last: int, id_column: str, size: int) -> int | None:
+    """The id that ends the next page of ``size`` rows after ``last``; None when there are no more rows.
+
+    Rows are counted by ranges of ids, then by smaller ranges within the one where the page ends.  Nothing is sorted, and a pass brings
+    at most ``BINS`` counts to the driver.  Rows with the same id stay together.
+    """
+    later = rows.filter(F.col(id_column) > F.lit(last))
+    low, high = last, later.agg(F.max(id_column)).first()[0]
+    if high is None:
+        return None
+    wanted = size
+    while True:
+        width = -(-(high - low) // BINS)
+        place = F.expr(f"(`{id_column}` - {low} - 1) div {width}")
+        counts = later.filter(F.col(id_column).between(low + 1, high)).groupBy(place.alias("at")).count().collect()
+        for at, n in sorted(map(tuple, counts)):
+            if n >= wanted:
+                low, high = low + at * width, min(high, low + (at + 1) * width)
+                break
+            wanted -= n
+        else:
+            return high  # the last page
+        if width == 1:
+            return high
+
+
+def page(table: DataFrame, last: int, end: int, id_column: str = "id", columns: list[str] | None = None, condition=None,
+         order_by: str | None = None) -> DataFrame:
+    """Rows after ``last`` up to ``end``, in the order of ``order_by``."""
+    rows = new_events(table, last, id_column, columns, condition).filter(F.col(id_column) <= F.lit(end))
+    return rows.orderBy(*dict.fromkeys([order_by or id_column, id_column]))
+
+
 def poll(table: DataFrame, last, id_column: str = "id", columns: list[str] | None = None, condition=None,
          order_by: str | None = None, batch_size: int = 1000) -> DataFrame:
     """One poll of an event table: the next ``batch_size`` rows after ``last`` by id, in the order of ``order_by``.
 
-    Pages are cut by id whatever the order within them, so that the next poll begins where this one ended.  The id
-    column is always part of the result.
+    Pages are cut by id (whole numbers) whatever the order within them, so that the next poll begins where this one ended; they are read as a
+    range of ids, which any number of tasks share.  The id column is always part of the result.
     """
-    page = new_events(table, last, id_column, columns, condition).orderBy(id_column).limit(batch_size)
-    return page.orderBy(order_by, id_column) if order_by and order_by != id_column else page
+    end = page_end(where(table, condition), last, id_column, batch_size)
+    return page(table, last, last if end is None else end, id_column, columns, condition, order_by)
 
 
 def new_events(table: DataFrame, last=0, id_column: str = "id", columns: list[str] | None = None, condition=None) -> DataFrame:
@@ -109,18 +148,12 @@ def poll_all(table: DataFrame, handle: Callable[[DataFrame], None], marks: MarkS
 
     Yields the mark after each batch.  A restart goes on from the saved mark.
     """
+    size = options.pop("batch_size", 1000)
     id_column = options.get("id_column", "id")
     saved = marks.get(key)
     last = start if saved is None else type(start)(saved)
-    while True:
-        batch = poll(table, last, **options).persist()
-        try:
-            top = high_water_mark(batch, id_column)
-            if top is None:
-                return
-            handle(batch)
-        finally:
-            batch.unpersist()
-        last = top
+    while (end := page_end(where(table, options.get("condition")), last, id_column, size)) is not None:
+        handle(page(table, last, end, **options))
+        last = end
         marks.put(key, last)
         yield last

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice.operators.blocks import first_rows
 from sluice.operators.changes import DeletePolicy, apply_changes, is_delete
+from sluice.streaming.state import KeyedState
 
 
 def essential(log: DataFrame, keys: list[str], order: list[str], policy: DeletePolicy, envelope: list[str] = ()) -> DataFrame:
@@ -23,32 +24,21 @@ def essential(log: DataFrame, keys: list[str], order: list[str], policy: DeleteP
 
 
 class ChangeTable:
-    """State for ``foreachBatch``: the essential events per micro-batch, and a snapshot of all of them every ``every`` batches.
+    """State for ``foreachBatch``: the essential events of every key, kept as a compacted table.
 
-    A batch reads the newest snapshot and the few batches behind it only when it writes the next snapshot; otherwise it stores its own
-    events and reads nothing.  A retried batch replaces what it wrote.  The state belongs to one query: give a new checkpoint a new path.
+    A batch stores its own essential events and rewrites one class of keys, see ``KeyedState``; a retried batch replaces what it wrote.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: list[str], policy: DeletePolicy,
-                 ts: str | None = None, envelope: list[str] = (), every: int = 10):
-        self.spark, self.path, self.schema, self.every = spark, path.rstrip("/"), schema, every
+                 ts: str | None = None, envelope: list[str] = (), classes: int = 8):
         self.rule = (keys, order, policy)
         self.ts, self.envelope = ts, list(envelope)
+        self.state = KeyedState(spark, path, schema, keys, lambda rows: essential(rows, *self.rule, self.envelope), classes)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        essential(batch, *self.rule, self.envelope).write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
-        if (batch_id + 1) % self.every == 0:
-            essential(self._events(batch_id), *self.rule, self.envelope).write.mode("overwrite").parquet(f"{self.path}/snapshots/batch={batch_id}")
-
-    def _events(self, batch_id: int) -> DataFrame:
-        """Essential events up to and including a batch."""
-        last = (batch_id // self.every) * self.every - 1  # the snapshot before this batch
-        paths = [f"{self.path}/events/batch={i}" for i in range(last + 1, batch_id + 1)]
-        if last >= 0:
-            paths.append(f"{self.path}/snapshots/batch={last}")
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def current(self, batch_id: int) -> DataFrame:
-        """The table after a batch."""
+        self.state.put(batch, batch_id)
+
+    def current(self) -> DataFrame:
+        """The table after the last batch."""
         keys, order, policy = self.rule
-        return apply_changes(self._events(batch_id), keys, order, policy, self.ts, self.envelope)
+        return apply_changes(self.state.current(), keys, order, policy, self.ts, self.envelope)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice.operators.blocks import first_rows
+from sluice.streaming.state import KeyedState
 
 
 def _without_id(df: DataFrame, id_field: str):
@@ -36,27 +37,27 @@ def dedup_ttl(stream: DataFrame, id_field: str, ttl_seconds: int = 86_400) -> Da
 
 
 class WrittenEvents:
-    """De-duplication against the ids of events that were written, kept as a table.
+    """De-duplication against the ids of events that were written, kept as a compacted table.
 
     Meant for ``foreachBatch``.  Within a batch, copies are cut to one per task before they are
     shuffled, so an event repeated any number of times costs nothing extra.  Ids are marked only
-    after the sink has written, they expire ``ttl_seconds`` after that, and a batch that is
+    after the sink has written, they expire ``ttl_seconds`` after that and leave the table when it is rewritten next, and a batch that is
     retried ignores its own earlier marks.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_field: str, id_type: str = "bigint",
                  ttl_seconds: int = 86_400):
-        self.spark, self.path, self.id_field, self.ttl = spark, path, id_field, ttl_seconds
-        self.schema = f"{id_field} {id_type}, marked_at timestamp, batch bigint, day date"
-        (spark.createDataFrame([], self.schema).write.mode("append")
-         .partitionBy("day", "batch").parquet(path))
+        self.spark, self.id_field, self.ttl = spark, id_field, ttl_seconds
+        self.state = KeyedState(spark, path, f"{id_field} {id_type}, marked_at timestamp", [id_field], self._newest)
 
-    def marked(self, batch_id: int) -> DataFrame:
-        """Ids that still count, without those of this batch; old days are not read."""
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The last mark of each id that still counts."""
         oldest = F.current_timestamp() - F.expr(f"INTERVAL {self.ttl} SECONDS")
-        rows = self.spark.read.schema(self.schema).parquet(self.path)
-        return rows.filter((F.col("day") >= oldest.cast("date")) & (F.col("marked_at") > oldest)
-                           & (F.col("batch") != batch_id)).select(self.id_field)
+        return rows.filter(F.col("marked_at") > oldest).groupBy(self.id_field).agg(F.max("marked_at").alias("marked_at"))
+
+    def marked(self, batch_id: int) -> DataFrame:
+        """Ids that still count, without those of this batch."""
+        return self.state.before(batch_id).select(self.id_field)
 
     def unseen(self, batch: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
         """First copy of each event that was not written before."""
@@ -66,10 +67,8 @@ class WrittenEvents:
         return fresh.unionByName(batch.filter(blank))
 
     def mark(self, written: DataFrame, batch_id: int) -> None:
-        (written.filter(~_without_id(written, self.id_field)).select(
-            self.id_field, F.current_timestamp().alias("marked_at"), F.lit(batch_id).cast("bigint").alias("batch"),
-            F.current_date().alias("day"))
-         .write.mode("append").partitionBy("day", "batch").parquet(self.path))
+        self.state.put(written.filter(~_without_id(written, self.id_field)).select(
+            self.id_field, F.current_timestamp().alias("marked_at")), batch_id)
 
     def handler(self, write: Callable[[DataFrame, int], DataFrame], order: list[str],
                 before: Callable[[DataFrame], DataFrame] = lambda df: df):

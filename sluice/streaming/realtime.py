@@ -21,6 +21,7 @@ from sluice.functions.values import TypedRecord
 from sluice.operators.predicates import to_column
 from sluice.operators.throttling import INTERVALS, STRATEGIES, admitted, only_admitted
 from sluice.streaming.dedup import WrittenEvents
+from sluice.streaming.state import KeyedState
 
 def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
@@ -71,7 +72,8 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
     State moves only for rows that are written.  Without ``condition`` and ``id_field`` this is
     the stateful upsert conversion.  Rows that lack a part of their entity are not rewritten and keep no
     entity state.  With ``id_field``, copies of an event must carry the same
-    entity, and an entity's state holds its ids of the last ``ttl_seconds``.
+    entity, and an entity's state holds its ids of the last ``ttl_seconds``; when no row comes for an entity any more, a timer
+    takes the expired ones out.
     """
     as_is, as_create = _filter_forms(stream, condition, type_field)
     judged, unpack = _exact(stream.withColumns({"_as_is": as_is, "_as_create": as_create}), order)
@@ -79,11 +81,24 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
     schema = judged.select(columns).schema
     sort = [f"_o{i}" for i in range(len(order))]
 
+    def keep_state(state: GroupState, alive: bool, seen: dict[str, int], now: int) -> None:
+        """An entity that does not exist and has no ids needs no state; the oldest id sets the timer."""
+        if not alive and not seen:
+            if state.exists:
+                state.remove()
+            return
+        state.update((alive, list(seen.keys()), list(seen.values())))
+        if seen:
+            state.setTimeoutDuration(max(1, min(seen.values()) + ttl_seconds * 1000 - now))
+
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(frames, sort)
         now = int(time.time() * 1000)
         alive, ids, marked = state.get if state.exists else (False, [], [])
         seen = {i: m for i, m in zip(ids, marked) if m > now - ttl_seconds * 1000}
+        if state.hasTimedOut:
+            keep_state(state, alive, seen, now)
+            return
+        pdf = _in_order(frames, sort)
         named = all(part is not None and part == part and part != "" for part in key)
         names = pdf[id_field].tolist() if id_field else [None] * len(pdf)
         keep, kinds = [], []
@@ -101,14 +116,14 @@ def realtime(stream: DataFrame, entity: list[str], order: list[str], type_field:
                 seen[name] = now
             keep.append(i)
             kinds.append(kind)
-        state.update((alive, list(seen.keys()), list(seen.values())))
+        keep_state(state, alive, seen, now)
         if keep:
             out = pdf.iloc[keep][columns].copy()
             out[type_field] = kinds
             yield out
 
     return unpack(judged.groupBy(*entity).applyInPandasWithState(
-        advance, schema, REALTIME_STATE, "append", GroupStateTimeout.NoTimeout))
+        advance, schema, REALTIME_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout))
 
 
 class TableChain:
@@ -124,15 +139,14 @@ class TableChain:
                  type_field: str, condition=None, ids: WrittenEvents | None = None):
         if ids is not None and condition is not None and reads_field(condition, type_field):
             raise ValueError("a filter on the event type cannot be combined with de-duplication here")
-        self.spark, self.path, self.entity, self.order = spark, path, entity, order
+        self.spark, self.entity, self.order = spark, entity, order
         self.type_field, self.condition, self.ids = type_field, condition, ids
-        self.schema = f"{entity_ddl}, alive boolean, batch bigint"
-        spark.createDataFrame([], self.schema).write.mode("append").partitionBy("batch").parquet(path)
+        self.state = KeyedState(spark, path, f"{entity_ddl}, alive boolean, batch bigint", entity,
+                                lambda rows: first_rows(rows, entity, [F.desc("batch")]))
 
     def alive(self, batch_id: int) -> DataFrame:
         """Entities that exist before this batch."""
-        rows = self.spark.read.schema(self.schema).parquet(self.path).filter(F.col("batch") < batch_id)
-        return first_rows(rows, self.entity, [F.desc("batch")]).filter("alive").select(*self.entity)
+        return self.state.before(batch_id).filter("alive").select(*self.entity)
 
     def convert(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """Rows to write, with rewritten types."""
@@ -162,9 +176,9 @@ class TableChain:
             self.ids.mark(written, batch_id)
         position = F.struct(*[F.col(o) for o in self.order])
         kind = F.col(self.type_field)
-        (written.filter(kind.isin(CREATE, UPDATE, DELETE) & has_entity(written, self.entity)).groupBy(*self.entity)
-         .agg((F.max_by(kind, position) != DELETE).alias("alive"))
-         .write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}"))
+        states = (written.filter(kind.isin(CREATE, UPDATE, DELETE) & has_entity(written, self.entity)).groupBy(*self.entity)
+                  .agg((F.max_by(kind, position) != DELETE).alias("alive")))
+        self.state.put(states.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
 
     def handler(self, write: Callable[[DataFrame, int], DataFrame],
                 steps: Callable[[DataFrame], DataFrame] = lambda df: df):
@@ -225,26 +239,27 @@ class ThrottleTable:
                  interval: str = "second", burst: int = 0, strategy: str = "token_bucket"):
         self.spark, self.path, self.keys, self.ts, self.tie = spark, path, keys, ts, tie
         self.limits = (rate, interval, burst, strategy)
+        self.state: KeyedState | None = None
 
-    def held(self, schema: T.StructType, batch_id: int) -> DataFrame | None:
-        """State of every key before this batch."""
-        if batch_id == 0:
-            return None
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(self.path)
-        states = rows.filter((F.col("batch") < batch_id) & F.col("_held").isNotNull())
-        return first_rows(states, self.keys, [F.desc("batch")]).select(*self.keys, "_held")
+    def _state(self, batch: DataFrame) -> KeyedState:
+        fields = [*[batch.schema[k] for k in self.keys], T.StructField("_held", T.ArrayType(T.LongType())), T.StructField("batch", T.LongType())]
+        return KeyedState(self.spark, f"{self.path}/limits", T.StructType(fields), self.keys,
+                          lambda rows: first_rows(rows, self.keys, [F.desc("batch")]))
 
     def handler(self, write: Callable[[DataFrame, int], DataFrame]):
         """``foreachBatch`` function: limit, store the state, write the admitted rows."""
         def handle(batch: DataFrame, batch_id: int) -> None:
-            keyed = [batch.schema[k] for k in self.keys]
-            schema = T.StructType([*keyed, T.StructField("_tie", batch.schema[self.tie].dataType),
-                                   T.StructField("_held", T.ArrayType(T.LongType()))])
-            out = admitted(batch, self.keys, self.ts, self.tie, *self.limits, held=self.held(schema, batch_id))
-            target = f"{self.path}/batch={batch_id}"
+            self.state = self.state or self._state(batch)
+            # Also where it is empty: without a state a key is walked in runs, whose ends would all be kept.
+            held = self.state.before(batch_id).select(*self.keys, "_held")
+            out = admitted(batch, self.keys, self.ts, self.tie, *self.limits, held=held)
+            # Both results of the walk are read from here; a later batch replaces what the one before it left.
+            target = f"{self.state.home}/walk-{batch_id % 2}"
             out.write.mode("overwrite").parquet(target)
-            passed = self.spark.read.schema(schema).parquet(target).filter(F.col("_held").isNull())
-            write(only_admitted(batch, passed, self.keys, self.tie).unionByName(batch.filter(F.col(self.ts).isNull())), batch_id)
+            walked = self.spark.read.schema(out.schema).parquet(target)
+            write(only_admitted(batch, walked.filter(F.col("_held").isNull()), self.keys, self.tie)
+                  .unionByName(batch.filter(F.col(self.ts).isNull())), batch_id)
+            self.state.put(walked.filter(F.col("_held").isNotNull()).withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
 
         return handle
 
@@ -262,15 +277,14 @@ def latest(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 class LatestTable:
-    """Changed keys of each micro-batch, appended; the current table is the newest row per key."""
+    """The newest row of every key, from the changed keys of each micro-batch; kept as a compacted table."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
-        self.schema = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        self.state = KeyedState(spark, path, T.StructType([*schema.fields, T.StructField("batch", T.LongType())]), keys,
+                                lambda rows: first_rows(rows, keys, [F.desc("batch")]))
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self.state.put(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
 
     def current(self) -> DataFrame:
-        rows = self.spark.read.schema(self.schema).parquet(self.path)
-        return first_rows(rows, self.keys, [F.desc("batch")]).drop("batch")
+        return self.state.current().drop("batch")

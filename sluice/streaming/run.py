@@ -21,14 +21,26 @@ def with_event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
-    """Process what is available, append it to a parquet table in the shared folder, and read it."""
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None, timers: bool = False) -> DataFrame:
+    """Process what is available, append it to a parquet table in the shared folder, and read it.
+
+    A stream with ``timers`` on processing time always has another empty batch to run; they are left to the next run's batches.
+    """
     spark = stream.sparkSession
     checkpoint = checkpoint or scratch_path(spark, f"{label}-state")
     path = path or scratch_path(spark, label)
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-             .option("path", path).trigger(availableNow=True).start())
-    query.awaitTermination()
+    before = spark.conf.get(EMPTY_BATCHES)
+    if timers:
+        spark.conf.set(EMPTY_BATCHES, "false")
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+                 .option("path", path).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 

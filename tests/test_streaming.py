@@ -57,7 +57,7 @@ CREATED = {"field": "event_type", "op": "in", "value": ["CREATE", "DELETE"]}
 
 def test_stateful_chain(spark):
     rows = make_events(copies=True)
-    out = run.run_to_table(RT.realtime(feed(spark, rows)(), ["k"], ["s", "id"], condition=CREATED, id_field="id"), "out")
+    out = run.run_to_table(RT.realtime(feed(spark, rows)(), ["k"], ["s", "id"], condition=CREATED, id_field="id"), "out", timers=True)
     assert written(out) == model(rows, lambda kind: kind in ("CREATE", "DELETE"))
 
 
@@ -197,3 +197,104 @@ def test_processing_time_dedup(spark):
     rows = make_events(copies=True)
     out = run.run_to_table(dedup.dedup_ttl(feed(spark, rows)(), "id", 3600), "out")
     assert sorted(r["id"] for r in out.collect()) == sorted({r[0] for r in rows})
+
+
+def test_idle_entity_holds_no_ids(spark):
+    """Once its ids have expired, a timer clears the state of an entity that no row comes for any more."""
+    import time
+
+    path, state = scratch_path(spark, "feed"), scratch_path(spark, "state")
+    out = scratch_path(spark, "out")
+    put = lambda rows: (spark.createDataFrame(rows, "id bigint, k bigint, s bigint, event_type string").withColumn("ts", F.timestamp_seconds("s"))
+                        .coalesce(1).write.mode("append").parquet(path))
+    go = lambda: run.run_to_table(RT.realtime(run.stream_table(spark, path, SCHEMA), ["k"], ["s", "id"], id_field="id", ttl_seconds=4),
+                                  "out", state, out, timers=True)
+    put([(1, 1, 1, "CREATE"), (2, 2, 2, "DELETE"), (3, 3, 3, "UPDATE")])
+    go()
+    assert sorted(i for ids in held_ids(spark, state).values() for i in ids) == ["1", "2", "3"]
+    time.sleep(5)
+    put([(4, 9, 9, "CREATE")])
+    go()
+    left = held_ids(spark, state)
+    # Entities 1 and 3 exist and keep that; 2 is gone with all of its state.
+    assert sorted(left) == [1, 3, 9] and left[1] == left[3] == [] and left[9] == ["4"]
+    put([(1, 1, 20, "UPDATE"), (5, 2, 21, "UPDATE")])
+    rows = {(r["id"], r["s"]): r["event_type"] for r in go().collect()}
+    assert rows[1, 20] == "UPDATE" and rows[5, 21] == "CREATE"
+
+
+def held_ids(spark, state):
+    """ids in the state of every entity."""
+    rows = spark.read.format("statestore").load(state).select("key.*", "value.groupState").collect()
+    return {int(r[0]): list(r[1]["ids"]) for r in rows}
+
+
+def bytes_read(state, batch_id):
+    system, _ = state._folder(state.path)
+    return sum(system.getContentSummary(state._folder(p)[1]).getLength() for p in state.files(batch_id))
+
+
+def test_state_read_per_batch_does_not_grow(spark):
+    """30 batches over the same keys: what a batch reads stays level, and files that no batch needs are gone."""
+    from sluice.operators.blocks import first_rows
+    from sluice.streaming.state import KeyedState
+
+    state = KeyedState(spark, scratch_path(spark, "keyed"), "k bigint, v bigint, batch bigint", ["k"],
+                       lambda rows: first_rows(rows, ["k"], [F.desc("batch")]), classes=4)
+    sizes = []
+    for b in range(30):
+        sizes.append(bytes_read(state, b))
+        state.put(spark.range(40).select(F.col("id").alias("k"), (F.col("id") + b).alias("v"), F.lit(b).cast("bigint").alias("batch")).filter(f"k % 3 = {b % 3}"), b)
+    assert max(sizes[20:]) <= 1.3 * max(sizes[8:14])
+    got = {r["k"]: r["v"] for r in state.current().collect()}
+    assert got == {k: k + max(b for b in range(30) if b % 3 == k % 3) for k in range(40)}
+    assert len(state._names(f"{state.home}/snapshots")) <= 6 and len(state._names(f"{state.home}/deltas")) <= 6
+    # A retried batch starts from the same state and replaces what it wrote.
+    before = sorted(map(tuple, state.before(29).collect()))
+    state.put(spark.range(40).select(F.col("id").alias("k"), F.lit(0).cast("bigint").alias("v"), F.lit(29).cast("bigint").alias("batch")).filter("k = 5"), 29)
+    assert sorted(map(tuple, state.before(29).collect())) == before
+    assert {r["k"]: r["v"] for r in state.current().collect()}[5] == 0
+
+
+def test_new_query_over_an_old_state_goes_on_from_it(spark):
+    """A second checkpoint over the same path counts its batches from 0; it sees the first one's marks and overwrites none."""
+    path, out = scratch_path(spark, "ids"), scratch_path(spark, "out")
+    rows = make_events(40)
+    for part in (rows[:30], rows[10:]):
+        marks = dedup.WrittenEvents(spark, path, "id")
+        store = dedup.batch_store(spark, f"{out}/{len(part)}-{part[0][0]}")
+        run.run_batches(feed(spark, part)(), marks.handler(store, ["s"]), "dedup")
+    first, second = (sorted(r["id"] for r in spark.read.parquet(f"{out}/30-{i}").select("id").collect()) for i in (0, 10))
+    assert first == list(range(30)) and second == list(range(30, 40))
+
+
+def test_windows_late_rows_and_the_end_of_the_input(spark):
+    from sluice.streaming.windows import WindowTable
+
+    # Batch 2 brings rows of a window that batch 1 has closed.
+    rows = [(1, 0, 30, "A"), (2, 0, 200, "A"), (3, 0, 40, "B"), (4, 0, 190, "B"), (5, 1, 400, "A"), (6, 0, 70, "B")]
+    path, label = scratch_path(spark, "windows"), {"n": ("count", None), "top": ("max", "s"), "mean": ("avg", "s")}
+    stream = feed(spark, rows)()
+    table = WindowTable(spark, path, stream.schema, "ts", label, ["k"], "60 seconds", None, "10 seconds")
+    run.run_batches(stream, table.handle, "windows")
+    rows = lambda df: sorted((int(r["window_start"].timestamp()), r["k"], r["n"], r["top"], r["mean"]) for r in df.collect())
+    assert rows(table.finish()) == [(0, 0, 1, 30, 30.0), (180, 0, 2, 200, 195.0), (360, 1, 1, 400, 400.0)]
+    assert rows(table.late()) == [(0, 0, 1, 40, 40.0), (60, 0, 1, 70, 70.0)]
+
+
+def test_polled_table_goes_on_from_its_checkpoint(spark):
+    from sluice.sources.tables import page_end
+    from sluice.streaming.polled import PolledTable
+
+    path, state, out = (scratch_path(spark, n) for n in ("table", "state", "out"))
+    put = lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id bigint, v string").write.mode("append").parquet(path)
+    put([*range(1, 40), 10_000_000, 10_000_001, 90_000_000_000])
+    load = lambda: spark.read.parquet(path)
+    assert [page_end(load(), a, "id", 10) for a in (0, 35, 10_000_001, 90_000_000_000)] == [10, 90_000_000_000, 90_000_000_000, None]
+    polled = lambda: PolledTable(spark, state, load, batch_size=10)
+    checkpoint = scratch_path(spark, "checkpoint")
+    assert polled().drain(dedup.batch_store(spark, out), checkpoint, most=2) >= 2
+    put([90_000_000_001])
+    polled().drain(dedup.batch_store(spark, out), checkpoint)
+    got = [r["id"] for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [*range(1, 40), 10_000_000, 10_000_001, 90_000_000_000, 90_000_000_001]

@@ -60,8 +60,30 @@ def with_carry(blocked: DataFrame, keys: list[str], summary: Column, combine, ca
     )
 
 
+# Row numbers that Spark gives inside a partition take so many bits; the number of the partition stands above them.
+_INSIDE = 33
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Exact 1-based position of each row of the table, with one exchange.
+
+    Rows are range-partitioned and sorted; their places inside a partition need no window, and one row per partition says how many rows
+    stand before it.  The sorted rows are stored, since their partitions must not change afterwards.
+    """
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", _INSIDE), F.col("_at").bitwiseAND(F.lit((1 << _INSIDE) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # A row per partition: bounded by the number of partitions, hence the broadcast and the window without a key.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return placed.join(starts, part == F.col("_part")).withColumn(name, F.col("_before") + inside + 1).select(*df.columns, name)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, split: bool | None = None) -> DataFrame:
     """Exact 1-based position of each row within its key (within the table without keys)."""
+    if not keys and split is not False:
+        return positions(df, order, name)
     rows, largest = key_sizes(df, keys)
     if split is False or (split is None and largest <= rows_per_block(df.sparkSession)):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.session import stored
+from sluice.session import shuffle_partitions, stored
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str], name: str | None = None,
@@ -30,8 +30,8 @@ def expand_for_each(parent: DataFrame, child: DataFrame, bindings: dict[str, str
     """Child rows for every parent row, with ``{parent field: child field}`` bound by equality.
 
     Parent rows with the same bound values repeat the child rows.  They are counted before the
-    join, so the join itself is many-to-one however often a value repeats.  Repeats are spelled out in two steps, so that no
-    row holds an array of more than about ``REPEATS`` items for any count that fits.
+    join, so the join itself is many-to-one however often a value repeats.  Up to ``REPEATS`` repeats are spelled out where the join has put
+    the row; more are cut into chunks of that size, which are dealt to all tasks before they are spelled out.
     """
     names = {p: f"_p{i}" for i, p in enumerate(bindings)}
     driving = (
@@ -39,10 +39,15 @@ def expand_for_each(parent: DataFrame, child: DataFrame, bindings: dict[str, str
         .agg(F.count(F.lit(1)).alias("_times"))
     )
     on = reduce(lambda a, b: a & b, [F.col(names[p]) == F.col(c) for p, c in bindings.items()])
-    chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_times - 1) div {REPEATS}"))).alias("_chunk")
+    joined = lambda some: child.join(driving.filter(some), on).select(*child.columns, "_times")
+    copies = lambda n: F.explode(F.sequence(F.lit(1).cast("bigint"), n)).alias("_copy")
+    few = joined(F.col("_times") <= REPEATS).select(*child.columns, copies(F.col("_times")))
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_times - 1) div {REPEATS}"))).alias("_chunk")
     inside = F.least(F.lit(REPEATS).cast("bigint"), F.col("_times") - F.col("_chunk") * REPEATS)
-    return (child.join(driving, on).select(*child.columns, "_times", chunks)
-            .select(*child.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), inside)).alias("_copy")).drop("_copy"))
+    # Dealt to a fixed number of tasks, since chunks are few bytes and would be put together again.
+    many = (joined(F.col("_times") > REPEATS).select(*child.columns, "_times", chunk)
+            .repartition(shuffle_partitions(child.sparkSession), *bindings.values(), "_chunk").select(*child.columns, copies(inside)))
+    return few.unionByName(many).drop("_copy")
 
 
 def expand(parent: DataFrame, child: DataFrame, bindings: dict[str, str], mode: str = "for_each_record",

@@ -5,11 +5,12 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice.operators.predicates import where
 from sluice.operators.shaping import partition_keys
 from sluice.operators.validate import check, quarantine, valid
+from sluice.session import scratch_path
 from sluice.sinks.render import bulk_lines, console_lines, kafka_sink_options, message_rows
 
 Sink = Callable[[DataFrame], None]
@@ -124,20 +125,38 @@ def tap(df: DataFrame, sink: Sink) -> DataFrame:
     return df
 
 
-def write_validated(df: DataFrame, schema: dict, sink: Sink, rejects: Sink | None = None) -> dict[str, int]:
-    """Write valid records; rejected ones go to ``rejects`` or are dropped.  Returns the counts."""
+VERDICT = "_verdict"
+
+
+def split_validated(df: DataFrame, schema: dict, path: str) -> dict[str, int]:
+    """Write every row once, below ``path`` in the folder of its verdict, valid or rejected; returns their counts.
+
+    Rows are read and checked once, and the counts come from the write itself.  Rejected rows keep their ``_errors``.
+    """
     from pyspark.sql import Observation
 
     seen = Observation()
-    checked = check(df, schema)
-    counted = checked.observe(seen, F.count_if(F.size("_errors") == 0).alias("valid"),
-                              F.count_if(F.size("_errors") > 0).alias("invalid"))
-    sink(valid(counted))
-    if rejects is not None:
-        rejects(quarantine(checked))
+    good = F.size("_errors") == 0
+    counted = check(df, schema).observe(seen, F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"))
+    counted.withColumn(VERDICT, F.when(good, "valid").otherwise("rejected")).write.partitionBy(VERDICT).parquet(path)
     return dict(seen.get)
 
 
+def write_validated(df: DataFrame, schema: dict, sink: Sink, rejects: Sink | None = None) -> dict[str, int]:
+    """Write valid records; rejected ones go to ``rejects`` or are dropped.  Returns the counts.
+
+    The sinks read what ``split_validated`` has stored, so they check nothing again, and the counts are there whatever a sink does.
+    """
+    path = scratch_path(df.sparkSession, "validated")
+    counts = split_validated(df, schema, path)
+    fields = check(df, schema).schema
+    stored_rows = df.sparkSession.read.schema(T.StructType([*fields.fields, T.StructField(VERDICT, T.StringType())])).parquet(path)
+    sink(valid(stored_rows.filter(F.col(VERDICT) == "valid").drop(VERDICT)))
+    if rejects is not None:
+        rejects(quarantine(stored_rows.filter(F.col(VERDICT) == "rejected").drop(VERDICT)))
+    return counts
+
+
 def batching_options(max_events: int | None = None, timeout: str | None = None) -> dict[str, dict[str, str]]:
     """Flush limits of a buffered sink as writer options and trigger."""
     out: dict[str, dict[str, str]] = {"options": {}, "trigger": {}}

@@ -102,3 +102,33 @@ def test_dedupe_strategies(spark):
     df = spark.createDataFrame(rows)
     pick = lambda s, f=None: sorted(r["seq"] for r in H.dedupe(df, ["k"], ["seq"], s, f).collect())
     assert pick("keep_first") == [1, 3] and pick("keep_last") == [2, 3] and pick("keep_latest", "at") == [1, 3]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_the_table_takes_one_exchange(spark, monkeypatch):
+    """Rows are moved once, into ranges; nothing is counted before."""
+    seen = []
+    real = B.stored
+    monkeypatch.setattr(B, "stored", lambda df: (seen.append(plan_of(df)), real(df))[1])
+    df = events(spark)
+    out = B.numbered(df, [], [F.desc("s"), F.asc("id")], "n")
+    moved = seen[0].replace("RoundRobinPartitioning", "source")  # the fixture's own
+    assert len(seen) == 1 and moved.count("rangepartitioning") == 1 and "hashpartitioning" not in moved and "Window" not in moved
+    rows = sorted((r["n"], -r["s"], r["id"]) for r in out.collect())
+    assert [n for n, _, _ in rows] == list(range(1, 901)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    assert B.numbered(df.filter("false"), [], [F.asc("id")], "n").count() == 0
+
+
+def test_expansion_of_a_hot_parent_is_spread(spark):
+    """Repeats of one parent come out of many tasks."""
+    from sluice.operators import expand as X
+
+    parent = spark.range(300_000).select(F.lit(7).alias("p")).unionByName(spark.createDataFrame([(1,), (1,), (2,)], "p int"))
+    child = spark.createDataFrame([(7, "hot"), (1, "a"), (1, "b"), (3, "c")], "c int, name string")
+    out = X.expand_for_each(parent, child, {"p": "c"})
+    assert {r["name"]: r["count"] for r in out.groupBy("name").count().collect()} == {"hot": 300_000, "a": 2, "b": 2}
+    tasks = out.filter("name = 'hot'").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 3 and max(r["count"] for r in tasks) <= 0.6 * 300_000

@@ -188,3 +188,28 @@ def test_one_object_and_nothing_else(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_object(F.col("t")).isNotNull().alias("ok")).collect()
     assert {r["t"]: r["ok"] for r in rows} == {t: is_object(t) for t in texts}
+
+
+def test_validated_write_checks_every_row_once(spark):
+    """One scan of the source; a sink without an action keeps nobody waiting."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).select("id", (F.col("id") % 30).cast("double").alias("value")).mapInArrow(counted, "id long, value double")
+    rules = {"fields": [{"name": "value", "type": "number", "max": 20}]}
+    kept = []
+    counts = W.write_validated(df, rules, kept.append, kept.append)
+    assert counts == {"valid": 73, "invalid": 27} and reads.value == 100
+    assert [k.count() for k in kept] == [73, 27] and reads.value == 100 and kept[0].columns == ["id", "value"]
+    path = scratch_path(spark, "split")
+    assert W.split_validated(df.filter("value < 5"), rules, path) == {"valid": 20, "invalid": 0}
+    assert spark.read.parquet(path).count() == 20
+
+
+def test_parameters_leave_quoted_text_alone():
+    assert tables.bind("SELECT ':a', \":b\", :a, x::int, 'it''s :a' FROM t WHERE b = :b", {"a": 1, "b": "o'x"}) == \
+        "SELECT ':a', \":b\", 1, x::int, 'it''s :a' FROM t WHERE b = 'o''x'"

@@ -39,11 +39,11 @@ WINDOW_RUNS = 600_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_RUN = pa.schema([("slot", pa.int64()), ("extent", pa.int64()), ("doc", pa.int64()), ("twin", pa.int32()), ("start", pa.int32()),
+_RUN = pa.schema([("slot", pa.int64()), ("extent", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int32()),
                   ("more", pa.int32()), ("done", pa.bool_())])
-_RUN_DDL = "slot long, extent long, doc long, twin int, start int, more int, done boolean"
-_FOUND = pa.schema([("doc", pa.int64()), ("twin", pa.int32()), ("start", pa.int32()), ("more", pa.int32()), ("ask", pa.bool_())])
-_FOUND_DDL = "doc long, twin int, start int, more int, ask boolean"
+_RUN_DDL = "slot long, extent long, doc long, twin long, start int, more int, done boolean"
+_FOUND = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int32()), ("more", pa.int32()), ("ask", pa.bool_())])
+_FOUND_DDL = "doc long, twin long, start int, more int, ask boolean"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ class Runs:
         slot = np.where(done, spread, slot)
         for a in range(0, len(slot), 100_000):
             b = a + 100_000
-            yield as_batch(_RUN, slot[a:b].view(np.int64), extent[a:b].view(np.int64), doc[a:b], twin[a:b].astype(np.int32),
+            yield as_batch(_RUN, slot[a:b].view(np.int64), extent[a:b].view(np.int64), doc[a:b], twin[a:b],
                            start[a:b].astype(np.int32), more[a:b].astype(np.int32), done[a:b])
 
 
@@ -290,12 +290,14 @@ def _cutter(length: int, texts: bool):
 
 
 def _lists(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc", "twin").agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("mores"))
+    """Places to look at in each document; rows that repeat it ask for the same ones."""
+    return (found.select("doc", "twin", "start", "more").distinct().groupBy("doc", "twin")
+            .agg(F.collect_list("start").alias("starts"), F.collect_list("more").alias("mores")))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs`` (doc_id, text); with ``texts`` also the kept text."""
-    keyed = docs.select(id_key().alias("doc"), F.hash("text").alias("twin"), text_bytes().alias("text"))
+    keyed = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("twin"), text_bytes().alias("text"))
     found = _judged(keyed.select("doc", "twin", "text").mapInArrow(_seeds(length), _RUN_DDL))
     found = kept(found, "repeats")
     asked = _lists(found.filter("ask"))

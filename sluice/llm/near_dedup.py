@@ -285,7 +285,9 @@ STAGE = Rule(words=5, share=80)
 
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), OP3)
+    """``kept`` is the contract's column, by doc_id alone; ``chosen`` is the one of several texts under a doc_id that stays."""
+    found = near_groups(table(spark, sf_dir, "documents"), OP3).withColumnRenamed("kept", "chosen")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:

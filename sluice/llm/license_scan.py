@@ -28,11 +28,11 @@ LICENSES = [
     ("agpl-3.0", r"(?:gnu )?affero general public license|agpl", "affero agpl"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public license|lgpl", "lesser library lgpl"),
     ("gfdl", r"(?:gnu )?free documentation license|gfdl", "documentation gfdl"),
-    ("gpl-3.0", r"(?:gnu )?general public license (?:version |v )?3|gplv3|gpl (?:version |v )?3", "general gplv3 gpl"),
-    ("gpl-2.0", r"(?:gnu )?general public license (?:version |v )?2|gplv2|gpl (?:version |v )?2", "general gplv2 gpl"),
+    ("gpl-3.0", r"(?:gnu )?general public license (?:version |v ?)?3|gplv3|gpl (?:version |v ?)?3", "general gplv3 gpl"),
+    ("gpl-2.0", r"(?:gnu )?general public license (?:version |v ?)?2|gplv2|gpl (?:version |v ?)?2", "general gplv2 gpl"),
     ("gpl", r"(?:gnu )?general public license|gpl", "general gpl"),
-    ("apache-2.0", r"apache (?:software )?license,? (?:version |v )?2(?: 0)?|apache 2 0|asl 2 0", "apache asl"),
-    ("apache-1.1", r"apache (?:software )?license (?:version |v )?1 1|apache 1 1", "apache"),
+    ("apache-2.0", r"apache (?:software )?license,? (?:version |v ?)?2(?: 0)?|apache 2 0|asl 2 0", "apache asl"),
+    ("apache-1.1", r"apache (?:software )?license (?:version |v ?)?1 1|apache 1 1", "apache"),
     ("apache", r"apache (?:software )?license", "apache"),
     ("mit", r"mit license|expat license|mit x11 license|x11 license", "mit expat x11"),
     ("mit-0", r"mit no attribution|mit 0", "mit"),
@@ -41,11 +41,11 @@ LICENSES = [
     ("bsd-2-clause", r"(?:2|two) clause bsd(?: license)?|bsd 2 clause|simplified bsd license|freebsd license", "bsd freebsd"),
     ("0bsd", r"zero clause bsd|0bsd", "bsd 0bsd"),
     ("bsd", r"bsd license|berkeley software distribution license", "bsd berkeley"),
-    ("mpl-2.0", r"mozilla public license (?:version |v )?2(?: 0)?|mpl 2 0", "mozilla mpl"),
-    ("mpl-1.1", r"mozilla public license (?:version |v )?1 1|mpl 1 1", "mozilla mpl"),
+    ("mpl-2.0", r"mozilla public license (?:version |v ?)?2(?: 0)?|mpl 2 0", "mozilla mpl"),
+    ("mpl-1.1", r"mozilla public license (?:version |v ?)?1 1|mpl 1 1", "mozilla mpl"),
     ("mpl", r"mozilla public license", "mozilla"),
-    ("epl-2.0", r"eclipse public license (?:version |v )?2(?: 0)?|epl 2 0", "eclipse epl"),
-    ("epl-1.0", r"eclipse public license(?: (?:version |v )?1(?: 0)?)?|epl 1 0", "eclipse epl"),
+    ("epl-2.0", r"eclipse public license (?:version |v ?)?2(?: 0)?|epl 2 0", "eclipse epl"),
+    ("epl-1.0", r"eclipse public license(?: (?:version |v ?)?1(?: 0)?)?|epl 1 0", "eclipse epl"),
     ("cddl-1.0", r"common development and distribution license|cddl", "distribution cddl"),
     ("cpl-1.0", r"common public license", "common"),
     ("eupl-1.2", r"european union public licen[cs]e|eupl", "european eupl"),
@@ -56,7 +56,7 @@ LICENSES = [
     ("busl-1.1", r"business source license", "business"),
     ("sspl-1.0", r"server side public license|sspl", "server sspl"),
     ("elastic-2.0", r"elastic license(?: 2 0)?", "elastic"),
-    ("artistic-2.0", r"artistic license (?:version )?2(?: 0)?", "artistic"),
+    ("artistic-2.0", r"artistic license (?:version |v ?)?2(?: 0)?", "artistic"),
     ("artistic-1.0", r"artistic license", "artistic"),
     ("perl", r"same terms as perl(?: itself)?", "perl"),
     ("python-2.0", r"python software foundation license|psf license", "python psf"),
@@ -146,7 +146,11 @@ def rules() -> tuple[list[tuple], frozenset[bytes]]:
     """(label, expression, keywords, weight) by falling priority, and all keywords."""
     listed = [(label, text, words, weight) for label, text, words, weight in SENTENCES]
     for form, weight in FORMS:
-        listed += [(label, form.replace("{n}", name), words, weight) for label, name, words in LICENSES]
+        for label, name, words in LICENSES:
+            if form is FORMS[0][0]:
+                # Labels are written like SPDX identifiers.
+                name, words = f"{name}|{re.sub('[-.]', ' ', label)}(?: only| or later)?", f"{words} spdx"
+            listed.append((label, form.replace("{n}", name), words, weight))
     made = [(label, re.compile(rb"(?<![^ ])(?:" + text.encode() + rb")(?![^ ])"), frozenset(words.encode().split()), weight)
             for label, text, words, weight in listed]
     return made, frozenset().union(*(m[2] for m in made))

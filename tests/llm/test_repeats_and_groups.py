@@ -199,3 +199,38 @@ def test_sequences_hold_the_ids(small_docs):
     got = packing.sequences(small_docs.limit(20), 256).collect()
     ids = [i for t in plain_ids([r.text for r in small_docs.limit(20).collect()]) for i in t]
     assert sorted(x for r in got for x in np.frombuffer(bytes(r.ids), "<u4").tolist()) == sorted(ids)
+
+
+def test_texts_of_equal_short_hash_without_ids(spark):
+    """Two texts that a 32-bit hash does not tell apart, both without doc_id; each keeps what is its own."""
+    from pyspark.sql import functions as F
+
+    shared = " ".join(f"w{i}" for i in range(30))
+    many = spark.range(300_000).select(F.concat(F.lit(shared + " x"), F.col("id"), F.repeat(F.lit(" y"), (F.col("id") % 7).cast("int"))).alias("text"))
+    pair = many.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).filter("size(texts) > 1").first()["texts"][:2]
+    # Unlike the other tests, rows without an id are documents of their own here: their texts differ.
+    docs = spark.createDataFrame([(None, pair[0]), (None, pair[1]), (1, shared)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.cut_repeats(docs).collect()}
+    assert sum(got.values()) > 0 and {k[1] for k in got} == {len(t.split()) for t in (*pair, shared)}
+
+
+def test_many_identical_rows_give_one_list(spark):
+    """What is cut from rows that repeat a document grows with their number, not with its square."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text)] * 3000 + [(1, text + " end")], "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.cut_repeats(docs).collect())
+    assert sum(got.values()) == 3001 and got[1, 41, 40] == 1
+    found = spark.createDataFrame([(1, 2, 0, 3, False)] * 3000, "doc long, twin long, start int, more int, ask boolean")
+    assert [len(r["starts"]) for r in substring_dedup._lists(found).collect()] == [1]
+
+
+def test_contract_column_of_near_groups(spark, tmp_path):
+    """Linked texts under one doc_id: kept says whether doc_id is the component's; chosen, which of them stays."""
+    from sluice.llm.queries import QUERIES
+
+    base = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(base)), (1, " ".join(base[:119] + ["x"])), (2, " ".join(base[:119] + ["y"])), (3, "other words only here"), (None, "alone too")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.component_id, r.kept, r.chosen) for r in QUERIES["op3_minhash_near_dedup"](spark, str(tmp_path)).collect()]
+    assert all(kept == (doc == component) for doc, component, kept, _ in got)
+    assert sorted(k for d, _, k, _ in got if d == 1) == [True, True] and sum(c for d, _, _, c in got if d == 1) == 1

@@ -175,3 +175,14 @@ def test_other_evidence_decides_where_the_text_does_not(spark, small_docs):
 def test_visible_text():
     page = b"<html lang=de><script>var a='</p>';</script><!-- x --><p>Gr\xc3\xbc&szlig;e <b>an</b> alle</p>"
     assert language_id.visible(page).split() == [b"Gr\xc3\xbc", b"e", b"an", b"alle"]
+
+
+@pytest.mark.parametrize("text, label", [
+    ("This is GPL v3 code", "gpl-3.0"), ("under the GNU General Public License v2", "gpl-2.0"), ("Apache License v2.0 applies", "apache-2.0"),
+    ("GPL version 3", "gpl-3.0"), ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: Zlib", "zlib"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("Mozilla Public License v2.0", "mpl-2.0"),
+])
+def test_versions_and_identifiers(spark, text, label):
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert label in row["labels"].split(",")

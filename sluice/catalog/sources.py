@@ -329,6 +329,28 @@ def _(t: Tables):
     return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+EVENT_RECORD = """{"type": "record", "name": "Event", "namespace": "demo", "fields": [
+    {"name": "event_id", "type": "long"},
+    {"name": "event_type", "type": {"type": "enum", "name": "Kind", "symbols": ["click", "view", "error", "purchase", "signup"]}},
+    {"name": "value", "type": ["null", "float", "double"], "default": null},
+    {"name": "ts", "type": {"type": "long", "logicalType": "local-timestamp-micros"}},
+    {"name": "tags", "type": {"type": "array", "items": ["null", "string"]}},
+    {"name": "actor", "type": {"type": "record", "name": "Actor", "fields": [{"name": "user_id", "type": ["int", "long"]}, {"name": "last", "type": "Kind"}]}}]}"""
+
+
+@query("src_23_avro_schema", """
+    SELECT event_id, event_type, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type || ',' || event_id AS tags, user_id, event_type AS last FROM events""")
+def _(t: Tables):
+    """JSON files read with the schema that an Avro record definition names."""
+    moment = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    rows = t.events.select("event_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                           F.array("event_type", F.col("event_id").cast("string")).alias("tags"), F.struct("user_id", F.col("event_type").alias("last")).alias("actor"))
+    path = _written(rows, "avro", timestampNTZFormat=moment)
+    out = schema.reader(t.spark, schema.source_schema("avro", EVENT_RECORD)).option("timestampNTZFormat", moment).json(path)
+    return out.select("event_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                      F.array_join("tags", ",").alias("tags"), "actor.user_id", "actor.last")
+
+
 @query("src_23_infer_json", "SELECT 'OBJECT<k: BIGINT>' AS inferred FROM (SELECT count(*) AS n FROM events) WHERE n > 0")
 def _(t: Tables):
     found = F.schema_of_variant_agg(F.try_parse_json("props"))

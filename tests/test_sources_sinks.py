@@ -213,3 +213,26 @@ def test_validated_write_checks_every_row_once(spark):
 def test_parameters_leave_quoted_text_alone():
     assert tables.bind("SELECT ':a', \":b\", :a, x::int, 'it''s :a' FROM t WHERE b = :b", {"a": 1, "b": "o'x"}) == \
         "SELECT ':a', \":b\", 1, x::int, 'it''s :a' FROM t WHERE b = 'o''x'"
+
+
+def test_avro_records_as_reader_schemas():
+    import json
+
+    from pyspark.sql import types as T
+
+    record = lambda *fields: json.dumps({"type": "record", "name": "R", "namespace": "n", "fields": [{"name": f"f{i}", "type": f} for i, f in enumerate(fields)]})
+    decimal = {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}
+    inner = {"type": "record", "name": "I", "fields": [{"name": "x", "type": ["null", "long"]}]}
+    got = schema.struct_from_avro(record("int", ["null", "string"], decimal, {"type": "map", "values": ["null", "float"]}, {"type": "array", "items": inner},
+                                         "n.I", "I", ["int", "string"], {"type": "int", "logicalType": "date"}, {"type": "fixed", "name": "F", "size": 4},
+                                         {"type": "string", "logicalType": "uuid"}, {"type": {"type": "long"}}, "null"))
+    assert [f.dataType.simpleString() for f in got] == [
+        "int", "string", "decimal(9,2)", "map<string,float>", "array<struct<x:bigint>>", "struct<x:bigint>", "struct<x:bigint>",
+        "struct<member0:int,member1:string>", "date", "binary", "string", "bigint", "void"]
+    assert [f.nullable for f in got][:3] == [False, True, False] and got["f4"].dataType.elementType["x"].nullable and got["f3"].dataType.valueContainsNull
+    for wrong in ('"int"', record("other"), '{"type": "record", "name": "R", "fields": [{"name": "a", "type": {"type": "decimals"}}]}'):
+        with pytest.raises(ValueError):
+            schema.struct_from_avro(wrong)
+    assert schema.source_schema("infer") is None and isinstance(schema.source_schema("x", fields=[{"name": "a", "type": "int"}]), T.StructType)
+    with pytest.raises(ValueError):
+        schema.source_schema("avro")

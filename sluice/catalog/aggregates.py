@@ -116,12 +116,21 @@ def _counted(t: Tables):
 
 @query("agg_04_run_statistics", """
     SELECT count(*) AS records_collected, count(*) FILTER (WHERE value > 5 AND event_type = 'click') * 2 AS records_processed,
-           count(*) FILTER (WHERE value > 5) AS keep, count(*) FILTER (WHERE value > 5 AND event_type = 'click') AS click
+           count(*) FILTER (WHERE value > 5) AS keep, count(*) FILTER (WHERE value > 5 AND event_type = 'click') AS click,
+           count(*) FILTER (WHERE event_type = 'error') AS collection_errors,
+           1 + count(*) FILTER (WHERE value > 20 AND event_type = 'click') AS processing_errors, true AS timed
     FROM events""")
 def _(t: Tables):
-    run = R.run_statistics(_counted(t), sinks=2)
-    row = (run["records_collected"], run["records_processed"], run["per_stage_counts"]["keep"], run["per_stage_counts"]["click"])
-    return t.spark.createDataFrame([row], "records_collected bigint, records_processed bigint, keep bigint, click bigint")
+    """Two sinks that work and one that fails; errors and duration are those of the run."""
+    rows = t.events.select("event_id", "event_type", "value")
+    stages = [("keep", lambda df: df.filter("value > 5")), ("click", lambda df: df.filter("event_type = 'click'"))]
+    good = lambda df: df.write.format("noop").mode("overwrite").save()
+    broken = lambda df: df.select("not there")
+    run = R.run_counted(rows, stages, [(None, good), (".value > 10", good), (None, broken)], F.col("event_type") == "error", F.col("value") > 20)
+    row = (run["records_collected"], run["records_processed"], run["per_stage_counts"]["keep"], run["per_stage_counts"]["click"],
+           run["collection_errors"], run["processing_errors"], run["duration_ms"] > 0)
+    return t.spark.createDataFrame([row], "records_collected bigint, records_processed bigint, keep bigint, click bigint, collection_errors bigint, "
+                                          "processing_errors bigint, timed boolean")
 
 
 @query("agg_05_stage_statistics", """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 COUNTERS = ("records_collected", "records_processed", "collection_errors", "processing_errors")
@@ -34,18 +37,52 @@ def stage_statistics(seen: dict[str, Observation]) -> list[dict]:
 
 
 def run_statistics(seen: dict[str, Observation], sinks: int, errors: int = 0, duration_ms: int = 0) -> dict:
-    """Counters of one run; a record counts as written once per sink."""
-    rows = {name: o.get["rows"] for name, o in seen.items()}
+    """Counters of one run; a record counts as written once per sink.
+
+    ``errors`` and those that the last counter has seen are processing errors; those of the source's are collection errors.
+    """
+    found = {name: o.get for name, o in seen.items()}
+    rows = {name: metrics["rows"] for name, metrics in found.items()}
     last = list(rows)[-1]
     return {
         "records_collected": rows["source"],
         "records_processed": rows[last] * sinks,
-        "processing_errors": errors,
+        "collection_errors": found["source"].get("errors", 0),
+        "processing_errors": errors + (found[last].get("errors", 0) if last != "source" else 0),
         "per_stage_counts": {n: c for n, c in rows.items() if n != "source"},
         "duration_ms": duration_ms,
     }
 
 
+def run_counted(df: DataFrame, stages: list[tuple], sinks: list[tuple], collection_error: Column | None = None,
+                processing_error: Column | None = None) -> dict:
+    """Run ``(name, stage)`` pairs into ``(condition, sink)`` pairs; the counters of the run.
+
+    Rows and errors are counted as they pass: ``collection_error`` on the source's rows, ``processing_error`` on those that leave the last
+    stage.  A sink that fails is one more processing error and does not keep the others from their rows.  The duration is that of
+    reading, stages and sinks together.
+    """
+    from sluice.operators.predicates import where
+
+    begun = time.monotonic()
+    df, source = counted(df, "source", collection_error)
+    seen = {"source": source}
+    for name, stage in stages:
+        df, seen[name] = counted(stage(df), name, processing_error if name == stages[-1][0] else None)
+    rows = df.persist()
+    failed = 0
+    try:
+        rows.count()  # the counters are complete whatever the sinks read
+        for condition, sink in sinks:
+            try:
+                sink(where(rows, condition))
+            except PySparkException:
+                failed += 1
+    finally:
+        rows.unpersist()
+    return run_statistics(seen, len(sinks) - failed, failed, round((time.monotonic() - begun) * 1000))
+
+
 def _sums(columns=COUNTERS) -> list[Column]:
     return [F.sum(c).alias(c) for c in columns]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,9 +52,31 @@ def from_key(key: Column) -> Column:
     return F.when(key != F.lit(NO_ID), key)
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library than glibc
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed; workers are reused, and what they keep adds up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], n: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``n`` rows, so that few texts are Python objects at a time."""
+    give_back()
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+    give_back()
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples."""
-    for batch in batches:
+    for batch in slices(batches):
         yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sluice.llm.base import as_batch, kept, query, table, text_bytes
+from sluice.llm.base import as_batch, kept, query, slices, table, text_bytes
 
 SAMPLE = 4000
 SLOTS = 1 << 16
@@ -92,7 +92,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _likelihood(model, clean):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.value.T.copy()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             logs, sizes = np.zeros((len(texts), tables.shape[1])), np.zeros(len(texts), np.int64)
             for i, text in enumerate(texts):
@@ -125,7 +125,7 @@ _JUDGED_DDL = "id long, text_hash long, language string, confidence double, text
 def _fuse(names: list[str], everything: np.ndarray, floor: float):
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = len(names)
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             if not n:
                 continue

@@ -30,7 +30,7 @@ class ChangeTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], order: list[str], policy: DeletePolicy,
-                 ts: str | None = None, envelope: list[str] = (), classes: int = 8):
+                 ts: str | None = None, envelope: list[str] = (), classes: int = 4):
         self.rule = (keys, order, policy)
         self.ts, self.envelope = ts, list(envelope)
         self.state = KeyedState(spark, path, schema, keys, lambda rows: essential(rows, *self.rule, self.envelope), classes)

@@ -23,7 +23,7 @@ class KeyedState:
     """``merge`` reduces rows (``schema``) to those that count; it may be applied again to what it returned together with later rows."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, keys: list[str], merge: Callable[[DataFrame], DataFrame],
-                 classes: int = 8):
+                 classes: int = 4):
         self.spark, self.path, self.keys, self.merge, self.classes = spark, path.rstrip("/"), keys, merge, classes
         self.schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         self.home: str | None = None

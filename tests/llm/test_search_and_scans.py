@@ -112,6 +112,44 @@ def test_language_model(odd_docs, small_docs):
     assert lm_scoring.score_texts(odd_docs.limit(0)).count() == 0
 
 
+def brute_model(spark, docs, learner_words):
+    """Scores by a model that learns from every training word, counted and mixed here; words are dealt to learners as in Spark."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in docs.collect()]
+    c = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    counts = np.zeros((lm_scoring.CONTEXTS * lm_scoring.SLOTS, 2))
+    for w, n in c.items():
+        _, _, slots, bit = lm_scoring._bits([w])
+        for at in slots:
+            np.add.at(counts, (at, bit), n)
+    learners = -(-len(c) // learner_words)
+    dealt = (spark.createDataFrame([(w,) for w in c], "word binary")
+             .selectExpr(f"pmod(xxhash64(word), {learners}) l", "xxhash64(1, word) place", "word").orderBy("l", "place").collect())
+    mixer, seen = lm_scoring.Mixer(counts.astype(np.float32)), 0
+    for learner in range(learners):
+        mixer.weights = np.full_like(mixer.weights, lm_scoring.WEIGHT)
+        seen = seen + mixer.learn([bytes(r.word) for r in dealt if r.l == learner])
+    cells = 2 * len(lm_scoring.MAP)
+    assert seen[:, -cells:-cells // 2].sum() == 8 * sum(len(w) + 1 for w in c)  # a visit for every bit of every training word
+    for gate, row in enumerate(seen):
+        mixer.settle(gate, row)
+    words, n = list(c), np.array(list(c.values()), float)
+    total = n.sum() + len(c)
+    u, b = np.where(n > 1, n / total, 0), 10 ** mixer.scores(words, n > 0)[1]
+    share = max(s / 1024 for s in range(11, 1014) if (n * (u - b) / (s / 1024 * u + (1 - s / 1024) * b)).sum() > 0)
+    every = sorted({w for _, ws in tokens for w in ws})
+    log = {w: math.log10(share * (c[w] and (c[w] + 1) / (total + 1)) + (1 - share) * 10 ** x) for w, x in zip(every, mixer.log10(every))}
+    return sorted([(i, len(ws), sum(log[w] for w in ws)) for i, ws in tokens], key=str)
+
+
+@pytest.mark.parametrize("learner_words", [1 << 17, 700])
+def test_weights_and_share_come_from_all_training_words(spark, small_docs, learner_words):
+    got = sorted([(r.doc_id, r.n_tokens, r.score) for r in lm_scoring.score_texts(small_docs, 100_000, learner_words).collect()], key=str)
+    wanted = brute_model(spark, small_docs, learner_words)
+    assert [g[:2] for g in got] == [w[:2] for w in wanted]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in wanted])
+
+
 def test_bit_model_is_a_distribution():
     """Over all bytes that may follow a history, probabilities add up to one."""
     mixer = lm_scoring.Mixer(np.random.default_rng(3).integers(0, 5, (lm_scoring.CONTEXTS * lm_scoring.SLOTS, 2)).astype(np.float32))

@@ -82,6 +82,54 @@ def test_poll_until_empty_and_restart(spark):
     assert sorted(pages) == sorted(r["id"] for r in table.filter("id > 3 AND id <= 9").collect())
 
 
+def _brute_pages(ids, last, size):
+    """(end, sorted ids) of all pages; rows with the same id stay together."""
+    left = sorted(i for i in ids if i is not None and i > last)
+    while left:
+        end = left[min(size, len(left)) - 1]
+        yield end, [i for i in left if i <= end]
+        left = [i for i in left if i > end]
+
+
+@pytest.mark.parametrize("ahead, most", [(1024, 1 << 22), (3, 1 << 22), (3, 20)])
+def test_pages_are_cut_and_stored_many_at_a_time(spark, monkeypatch, ahead, most):
+    """Any order of ids, repeated and NULL ones, one id with more rows than a page or a task takes; a job or two for each page."""
+    monkeypatch.setattr(tables, "PAGES_AHEAD", ahead)
+    monkeypatch.setattr(tables, "ROWS_AHEAD", most)
+    ids = [(i * 7919) % 1000 for i in range(120)] + [i * 3 for i in range(0, 200, 9)] + [500] * 25 + [None] * 12 + [10**15]
+    path, marks = scratch_path(spark, "a table"), tables.MarkStore(spark, scratch_path(spark, "marks"))
+    spark.createDataFrame([(i, f"k{n % 3}", n) for n, i in enumerate(ids)], "id bigint, kind string, n int").write.parquet(path)
+    pages, group = [], f"poll-{ahead}-{most}"
+    spark.sparkContext.setJobGroup(group, group)
+    table = spark.read.parquet(path)
+    got = list(tables.poll_all(table, lambda df: pages.append((df.columns, df.collect())), marks, "t", 17, columns=["n"], order_by="kind", batch_size=13))
+    spark.sparkContext.setJobGroup("", "")
+    wanted = list(_brute_pages(ids, 17, 13))
+    assert got == [end for end, _ in wanted] and [sorted(r["id"] for r in rows) for _, rows in pages] == [w for _, w in wanted]
+    for columns, rows in pages:
+        assert columns == ["n", "id"] and [(r["n"] % 3, r["id"]) for r in rows] == sorted((r["n"] % 3, r["id"]) for r in rows)
+    assert marks.get("t") == str(10**15)
+    if ahead > len(pages):
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 2 * len(pages) + 16
+
+
+def test_pages_follow_a_table_that_grows(spark):
+    """Rows that come between those that were read ahead are part of the next page; rows behind them follow."""
+    path = scratch_path(spark, "table")
+    put = lambda ids: spark.createDataFrame([(i,) for i in ids], "id bigint").coalesce(1).write.mode("append").parquet(path)
+    put(range(0, 100, 2))
+    pages, last, got = tables.Pages(size=10), -1, []
+    for more in ([], [98, 200], [51, 53], [], []):
+        if more:
+            put(more)
+        last, rows = pages.next(spark.read.parquet(path), last)
+        got.append([r["id"] for r in rows.collect()])
+    assert got[:2] == [[*range(0, 20, 2)], [*range(20, 40, 2)]]
+    assert got[2:] == [[40, 42, 44, 46, 48, 50, 51, 52, 53, 54], [*range(56, 76, 2)], [*range(76, 96, 2)]]
+    assert sorted(r["id"] for r in pages.next(spark.read.parquet(path), last)[1].collect()) == [96, 98, 98, 200]
+    assert pages.next(spark.read.parquet(path), 200) is None
+
+
 def test_high_water_mark(spark):
     assert tables.high_water_mark(spark.range(5), "id") == 4
     assert tables.high_water_mark(spark.range(0), "id", 7) == 7

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.operators.throttling import throttle
 from sluice.session import scratch_path
 from sluice.streaming import dedup, realtime as RT, run
+from sluice.streaming.state import KeyedState
 
 SCHEMA = "id bigint, k bigint, s bigint, event_type string, ts timestamp"
 
@@ -298,3 +299,40 @@ def test_polled_table_goes_on_from_its_checkpoint(spark):
     polled().drain(dedup.batch_store(spark, out), checkpoint)
     got = [r["id"] for r in spark.read.parquet(out).collect()]
     assert sorted(got) == [*range(1, 40), 10_000_000, 10_000_001, 90_000_000_000, 90_000_000_001]
+
+
+def test_polled_stream_needs_few_jobs_a_page(spark):
+    from sluice.streaming.polled import PolledTable
+
+    path, state, out, checkpoint = (scratch_path(spark, n) for n in ("table", "state", "out", "checkpoint"))
+    spark.range(1, 121).selectExpr("id", "id % 3 kind").write.parquet(path)
+    store, groups = dedup.batch_store(spark, out), []
+
+    def write(df, batch_id):
+        groups.append(spark.sparkContext.getLocalProperty("spark.jobGroup.id"))
+        return store(df, batch_id)
+
+    polled = lambda: PolledTable(spark, state, lambda: spark.read.parquet(path), order_by="kind", batch_size=10)
+    assert polled().drain(write, checkpoint, most=3) == 3
+    assert polled().drain(write, checkpoint) == 9
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(groups[-1]))
+    assert jobs <= 3 * 9 + 20  # reading the schema, the page, and what the clock stream runs
+    spark.range(121, 126).selectExpr("id", "id % 3 kind").write.mode("append").parquet(path)
+    assert polled().drain(write, checkpoint) == 1
+    got = spark.read.parquet(out).groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("a").collect()
+    assert [(r["a"], r["b"]) for r in got] == [(a, min(a + 9, 125)) for a in range(1, 122, 10)] and sum(r["n"] for r in got) == 125
+
+
+def test_state_of_one_key_written_by_the_driver(spark):
+    """Read like what ``put`` writes, by later batches, retries, and the next query."""
+    merge = lambda rows: rows.groupBy("name").agg(F.max("last").alias("last"))
+    path = scratch_path(spark, "state")
+    state = KeyedState(spark, path, "name string, last bigint", ["name"], merge, classes=2)
+    before = []
+    for n in range(7):
+        before.append([r["last"] for r in state.before(n).collect()])
+        put = [lambda row, n: state.put(spark.createDataFrame([row]), n), state.put_row][n % 3 != 1]
+        put({"name": "all", "last": 10 * n}, n)
+    assert before == [[], *([10 * n] for n in range(6))] and [r["last"] for r in state.before(6).collect()] == [50]
+    state.put_row({"name": "all", "last": 55}, 6)
+    assert [r["last"] for r in KeyedState(spark, path, "name string, last bigint", ["name"], merge, classes=2).current().collect()] == [55]
